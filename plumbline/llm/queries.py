@@ -35,7 +35,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_rules, op4_byte_bpe, op10_quality_rules)}
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import html_text
+
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+def op7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import quotes
+
+    return quotes.link(_table(spark, sf_dir, "conversations"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import pii
+
+    return pii.digest(pii.detect(_table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op2_url_rules, op4_byte_bpe, op6_html_text, op7_quotes, op8_pii, op10_quality_rules)}
 
 ORACLES = {
     "op2_url_rules": r"""
