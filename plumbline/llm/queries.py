@@ -10,6 +10,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import decontaminate
+
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 #: Fixed values of the URL rules: host, path, verdict.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -53,7 +59,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_rules, op4_byte_bpe, op6_html_text, op7_quotes, op8_pii, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_rules, op4_byte_bpe, op6_html_text, op7_quotes, op8_pii, op10_quality_rules)}
 
 ORACLES = {
     "op2_url_rules": r"""
