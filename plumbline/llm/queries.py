@@ -41,6 +41,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import near_dup
+
+    return near_dup.classify(_table(spark, sf_dir, "documents"))
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm import html_text
 
@@ -59,7 +65,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_rules, op4_byte_bpe, op6_html_text, op7_quotes, op8_pii, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_rules, op4_byte_bpe, op5_near_duplicates, op6_html_text, op7_quotes, op8_pii, op10_quality_rules)}
 
 ORACLES = {
     "op2_url_rules": r"""
