@@ -27,6 +27,12 @@ def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(_table(spark, sf_dir, "pages"), rules)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import substring_dedup
+
+    return substring_dedup.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,7 +71,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_rules, op4_byte_bpe, op5_near_duplicates, op6_html_text, op7_quotes, op8_pii, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_rules, op3_substring_dedup, op4_byte_bpe, op5_near_duplicates, op6_html_text, op7_quotes, op8_pii, op10_quality_rules)}
 
 ORACLES = {
     "op2_url_rules": r"""
