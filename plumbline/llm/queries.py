@@ -41,6 +41,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digest=True)
 
 
+def op9_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import suffix_lm
+
+    return suffix_lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm import quality
 
@@ -71,7 +77,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_rules, op3_substring_dedup, op4_byte_bpe, op5_near_duplicates, op6_html_text, op7_quotes, op8_pii, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_rules, op3_substring_dedup, op4_byte_bpe, op5_near_duplicates, op6_html_text, op7_quotes, op8_pii, op9_suffix_lm, op10_quality_rules)}
 
 ORACLES = {
     "op2_url_rules": r"""
