@@ -27,7 +27,7 @@ LONGEST_WORDS, LONGEST_SHARE = 50, 0.1
 MOST_SYMBOLS, MOST_DUP_LINES = 0.06, 0.5
 SYMBOLS, BLANKS = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 MIX = np.uint64(0x9E3779B97F4A7C15)
-SCHEMA = pa.schema([("doc_id", pa.int64())] + [(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_covered", "longest_repeat")])
+SCHEMA = pa.schema([("doc_id", pa.int64())] + [(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_covered", "longest_repeat")] + [("base_failed", pa.bool_()), ("kept", pa.bool_())])
 
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -127,27 +127,45 @@ def measures(texts: list[str | None]) -> dict[str, np.ndarray]:
     }
 
 
+def verdicts(m: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """base_failed and kept, from the measures."""
+    failed = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
+    good = (
+        (m["n_covered"] <= MOST_COVERED * m["n_words"])
+        & ~((m["longest_repeat"] >= LONGEST_WORDS) & (m["longest_repeat"] >= LONGEST_SHARE * m["n_words"]))
+        & (m["n_symbols"] <= MOST_SYMBOLS * m["word_chars"])
+        & (m["n_dup_lines"] <= MOST_DUP_LINES * m["n_lines"])
+    )
+    return {"base_failed": failed, "kept": ~failed & good}
+
+
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for a, b in chunks(texts):
-            yield rows_out({"doc_id": ids[a:b], **measures(texts[a:b])}, SCHEMA)
+            m = measures(texts[a:b])
+            yield rows_out({"doc_id": ids[a:b], **m, **verdicts(m)}, SCHEMA)
+
+
+def _passed(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(text_at).to_pylist()
+        for a, b in chunks(texts):
+            yield batch.slice(a, b - a).filter(pa.array(verdicts(measures(texts[a:b]))["kept"]))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its id, counts and `kept`; no shuffle, each text is judged by itself.
+    """One row per document: its id, counts, `base_failed` and `kept`; no shuffle, each text is judged by itself.
 
     Null, empty and blank texts have no words and fail (fewer than 10 words). Repeated rows are judged each. Only the
     id and the text are read, so other columns cannot clash. An empty table gives an empty result. Very long texts
     are sorted whole, one at a time.
     """
-    schema = ", ".join(f"{f.name} long" for f in SCHEMA)
-    m = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_measured, schema)
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    verdict = (
-        (F.col("n_covered") <= MOST_COVERED * F.col("n_words"))
-        & ~((F.col("longest_repeat") >= LONGEST_WORDS) & (F.col("longest_repeat") >= LONGEST_SHARE * F.col("n_words")))
-        & (F.col("n_symbols") <= MOST_SYMBOLS * F.col("word_chars"))
-        & (F.col("n_dup_lines") <= MOST_DUP_LINES * F.col("n_lines"))
-    )
-    return m.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict)
+    schema = ", ".join(f"{f.name} {'boolean' if f.name in ('base_failed', 'kept') else 'long'}" for f in SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_measured, schema)
+
+
+def passed(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents that judge() keeps, with all their columns, in one pass."""
+    at = docs.columns.index(text_col)
+    return docs.mapInArrow(lambda it: _passed(it, at), docs.schema)
