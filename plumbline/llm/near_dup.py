@@ -1,14 +1,16 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 Texts that are equal as word sequences become one class at once. In each of several independent trees, a class falls
-into the child that its minwise token for that tree names; a child is a node of the next level. Nodes whose
-classes are few, or differ in few components, are compared exhaustively by sketch; larger ones branch again, on tokens
-that the node's path chooses, and what is still large at the last level is compared in blocks, whole. A pair at the
-threshold takes the same branch with the probability of its similarity, so with `TREES` trees at least
-1 - 0.25 ** TREES of the pairs meet at the first level. Pairs that the sketches let pass are confirmed on full shingle sets.
-
-Two passes keep hot groups linear: the first only confirms a spanning forest of each node, so a group of near copies
-becomes a component with about one link per member; the second looks for pairs between different components.
+into the child that its minwise token for that tree names; a child is a node of the next level. The classes of small
+nodes are compared exhaustively by sketch; large ones branch again, on tokens that the node's path chooses, as
+long as their classes are in different clusters, and what is still large at the last level is compared in blocks,
+whole. A pair at the threshold takes the same branch with the probability of its similarity, so with `TREES` trees at
+least 1 - 0.25 ** TREES of the pairs meet at the first level.
+
+No step lists the pairs of a group: a node gives a spanning forest of its similar pairs, and forests make clusters. The
+forests' pairs are confirmed on full shingle sets first, which turns a group of near copies into a component with
+about one link per member. Where a cluster still has several components, its texts come together once, in blocks,
+and pairs between components are confirmed there until no similar pair is left that could join two of them.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from plumbline.llm.components import components
 SHINGLE, SIMILAR = 5, 75
 #: Independent trees; bytes of a sketch (one for each minwise hash); branches and levels of large nodes.
 TREES, SKETCH, BRANCHES, LEVELS = 12, 96, 2, 4
-#: Rows of a block in the first pass and of half a block at the last level; comparisons and rows that a node may have to be compared whole.
-BLOCK, MOST_WORK, MOST_ROWS = 1500, 4_000_000, 100_000
+#: Rows of a block; comparisons and rows that a node may have to be compared whole; hashes that a task keeps of texts.
+BLOCK, MOST_WORK, MOST_ROWS, MOST_KEPT = 1000, 4_000_000, 100_000, 10_000_000
 #: Least sketch agreement of a pair to be confirmed: four and a half standard deviations below the threshold.
 AGREE = 0.75 - 4.5 * (0.75 * 0.25 / SKETCH) ** 0.5
 
@@ -80,14 +82,14 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows_out(out, HASHED)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(cls, comp, n, sketch) of each run of equal `grp`; rows come sorted by it."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The columns after `grp` of each run of equal `grp`, sketches as a matrix, texts as Arrow values; rows come sorted by it."""
     held: list[tuple] = []
     now = None
 
-    def made() -> tuple[np.ndarray, ...]:
-        cls, comp, n, sk = (np.concatenate(x) for x in zip(*held, strict=True))
-        return cls, comp, n, sk
+    def made() -> tuple:
+        cls, comp, n, sk, *rest = zip(*held, strict=True)
+        return (*map(np.concatenate, (cls, comp, n, sk)), *([t for part in x for t in part] for x in rest))
 
     for batch in batches:
         if not batch.num_rows:
@@ -100,60 +102,93 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...
                 if held:
                     yield made()
                 held, now = [], grp[a]
-            held.append((cls[a:b], comp[a:b], n[a:b], sk[a:b]))
+            held.append((cls[a:b], comp[a:b], n[a:b], sk[a:b], *(batch.column(i).slice(a, b - a) for i in range(5, batch.num_columns))))
     if held:
         yield made()
 
 
-def _similar(comp: np.ndarray, n: np.ndarray, sk: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, agreement) with i < j of pairs in different components that sizes and sketches let pass, block by block."""
-    m = len(n)
-    step = max(1, min(m, 12_000_000 // (SKETCH * m)))
-    for a in range(0, m, step):
-        b = min(m, a + step)
-        agree = (sk[a:b, None, :] == sk[None, a + 1 :, :]).sum(2, dtype=np.int16) if a + 1 < m else np.empty((b - a, 0), np.int16)
-        lo, hi = np.minimum(n[a:b, None], n[None, a + 1 :]), np.maximum(n[a:b, None], n[None, a + 1 :])
-        ok = (agree >= AGREE * SKETCH) & (100 * lo >= SIMILAR * hi) & (comp[a:b, None] != comp[None, a + 1 :])
-        i, j = np.nonzero(ok)
-        keep = i < j + 1
-        i, j = i[keep], j[keep]
-        yield i + a, j + a + 1, agree[i, j]
-
-
-def _compared(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa.RecordBatch]:
+def _similar(comp: np.ndarray, n: np.ndarray, sk: np.ndarray) -> tuple[list[int], list[int]]:
+    """Pairs of rows in different components that sizes and sketches let pass, the most similar first."""
+    # Rows of the largest component come last: they need no comparison with each other.
+    _, own, count = np.unique(comp, return_inverse=True, return_counts=True)
+    order = np.argsort(count[own] == count.max(), kind="stable") if (count == count.max()).sum() == 1 else np.arange(len(n))
+    comp, n, sk = comp[order], n[order], sk[order]
+    m, first = len(n), int((count[own] != count.max()).sum()) if (count == count.max()).sum() == 1 else len(n)
+    found = [np.empty((3, 0), np.int64)]
+    step = max(1, 12_000_000 // (SKETCH * m))
+    for a in range(0, first, step):
+        b = min(first, a + step)
+        agree = (sk[a:b, None, :] == sk[None, a:, :]).sum(2, dtype=np.int16)
+        lo, hi = np.minimum(n[a:b, None], n[None, a:]), np.maximum(n[a:b, None], n[None, a:])
+        i, j = np.nonzero((agree >= AGREE * SKETCH) & (100 * lo >= SIMILAR * hi) & (comp[a:b, None] != comp[None, a:]))
+        i, j, agree = i[i < j], j[i < j], agree[i[i < j], j[i < j]]
+        found.append(np.stack([order[i + a], order[j + a], agree]))
+    i, j, agree = np.concatenate(found, 1)
+    best = np.argsort(-agree, kind="stable")
+    return i[best].tolist(), j[best].tolist()
+
+
+class _Forest:
+    """Which rows are joined, starting from their components."""
+
+    def __init__(self, comp: np.ndarray):
+        _, first, own = np.unique(comp, return_index=True, return_inverse=True)
+        self.root = first[own].tolist()
+
+    def top(self, x: int) -> int:
+        root = self.root
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.root[self.top(x)] = self.top(y)
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of each group's similar pairs."""
     for cls, comp, n, sk in _groups(batches):
-        if not forest:
-            # Rows of the largest component need no comparison with each other: the rest goes first, and pairs with it.
-            for i, j, _ in _similar(comp, n, sk):
-                if len(i):
-                    a, b = cls[i], cls[j]
-                    yield rows_out({"a": np.minimum(a, b), "b": np.maximum(a, b)}, PAIRS)
-            continue
-        found = [np.stack(x) for x in _similar(comp, n, sk)]
-        i, j, agree = np.concatenate(found, 1)
-        root = list(range(len(cls)))
-
-        def top(x: int, root: list[int] = root) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        a_out, b_out = [], []
-        for k in np.argsort(-agree, kind="stable").tolist():
-            x, y = top(int(i[k])), top(int(j[k]))
-            if x != y:
-                root[x] = y
-                p, q = int(cls[i[k]]), int(cls[j[k]])
-                a_out.append(min(p, q))
-                b_out.append(max(p, q))
-        if a_out:
-            yield rows_out({"a": a_out, "b": b_out}, PAIRS)
-
-
-def _compare(rows: DataFrame, forest: bool) -> DataFrame:
-    dealt = rows.select("grp", "cls", "comp", "n", "sketch").repartition("grp").sortWithinPartitions("grp")
-    return dealt.mapInArrow(lambda it: _compared(it, forest), "a long, b long").where("a <> b").distinct()
+        forest, out = _Forest(comp), []
+        for i, j in zip(*_similar(comp, n, sk), strict=True):
+            if forest.top(i) != forest.top(j):
+                forest.join(i, j)
+                out.append((min(cls[i], cls[j]), max(cls[i], cls[j])))
+        if out:
+            yield rows_out(dict(zip("ab", zip(*out, strict=True), strict=True)), PAIRS)
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that join components of each group, confirmed on full sets."""
+    for cls, comp, n, sk, texts in _groups(batches):
+        forest, out = _Forest(comp), []
+        kept: dict[int, np.ndarray] = {}
+        held = 0
+        for i, j in zip(*_similar(comp, n, sk), strict=True):
+            if forest.top(i) == forest.top(j):
+                continue
+            for x in (i, j):
+                if x not in kept:
+                    if held > MOST_KEPT:
+                        kept, held = {}, 0
+                    kept[x] = shingles(words_lower(texts[x].as_py()))
+                    held += len(kept[x])
+            a = kept[i] if i in kept else shingles(words_lower(texts[i].as_py()))
+            if _linked(a, kept[j]):
+                forest.join(i, j)
+                out.append((min(cls[i], cls[j]), max(cls[i], cls[j])))
+        if out:
+            yield rows_out(dict(zip("ab", zip(*out, strict=True), strict=True)), PAIRS)
+
+
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= SIMILAR * (len(a) + len(b) - both)
+
+
+def _grouped(rows: DataFrame, of, *more: str) -> DataFrame:
+    dealt = rows.select("grp", "cls", "comp", "n", "sketch", *more).repartition("grp").sortWithinPartitions("grp")
+    return dealt.mapInArrow(of, "a long, b long").where("a <> b").distinct()
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,53 +198,43 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
             if a != last:
                 last, own = a, shingles(words_lower(ta.as_py()))
-            other = shingles(words_lower(tb.as_py()))
-            both = len(np.intersect1d(own, other, assume_unique=True))
-            if 100 * both >= SIMILAR * (len(own) + len(other) - both):
+            if _linked(own, shingles(words_lower(tb.as_py()))):
                 out["a"].append(a)
                 out["b"].append(b)
         yield rows_out(out, PAIRS)
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs that hold on full sets. Only texts of candidates are shuffled; each pair then carries its second text to its first."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    t = stored(texts.join(wanted, "doc_id", "left_semi"), "candidates")
-    second = pairs.join(t.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    both = second.join(t.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    """The pairs that hold on full sets; each pair carries its second text to its first."""
+    second = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    both = second.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
     return both.mapInArrow(_confirmed, "a long, b long").distinct()
 
 
-def _with_component(classes: DataFrame, links: DataFrame | None) -> DataFrame:
-    if links is None:
-        return classes.withColumn("comp", F.col("cls"))
-    c = components(links)
-    return classes.join(c.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-
+def _labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes (cls, n, sketch) with `comp`, their component by the links."""
+    c = components(links).withColumnRenamed("id", "cls")
+    return classes.join(c, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """rows (node, cls) with their node's number of rows, without nodes of one."""
-    size = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-    return rows.join(size, "node")
 
-
-def links_of(classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) between classes (cls, n, tokens, sketch), enough for their components."""
+def _candidates(classes: DataFrame) -> DataFrame:
+    """Similar pairs (a, b) by sketch, enough for their clusters."""
     first = classes.select("cls", F.posexplode("tokens").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "cls")
-    nodes = stored(_counted(first), "nodes")
+    size = first.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+    nodes = stored(first.join(size, "node"), "nodes")
     sketches = classes.select("cls", "n", "sketch", F.col("cls").alias("comp"))
-
-    # First pass: a spanning forest of each node. Large nodes are cut into blocks that share their least class.
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    cut = nodes.withColumn("block", F.pmod(F.xxhash64("cls"), blocks))
-    hubs = nodes.where(F.col("size") > BLOCK).groupBy("node").agg(F.min("cls").alias("cls"), F.first("size").alias("size")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("size") / BLOCK) - 1)))
-    cut = cut.select("node", "cls", F.col("block").cast("bigint").alias("block")).unionByName(hubs.select("node", "cls", "block")).distinct()
-    rows = cut.select(F.xxhash64("node", "block").alias("grp"), "cls").join(sketches, "cls")
-    links = stored(_confirm(stored(_compare(rows, True), "forest"), texts), "confirmed")
-
-    # Second pass: pairs between different components of a node.
-    sketches = stored(_with_component(classes.select("cls", "n", "sketch"), links), "sketches")
-    level = nodes.select("node", "cls").join(sketches, "cls")
+    # Large nodes are cut into blocks that share their least class.
+    blocks = F.ceil(F.col("size") / BLOCK)
+    cut = nodes.select("node", "cls", F.pmod(F.xxhash64("cls"), blocks).alias("block"))
+    hubs = nodes.where(F.col("size") > BLOCK).groupBy("node").agg(F.min("cls").alias("cls"), F.first("size").alias("size")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    cut = cut.unionByName(hubs.select("node", "cls", "block")).distinct()
+    pairs = stored(_grouped(cut.select(F.xxhash64("node", "block").alias("grp"), "cls").join(sketches, "cls"), _forests), "forests")
+
+    # What the blocks of a large node kept apart.
+    level = nodes.where(F.col("size") > BLOCK).select("node", "cls")
+    if level.isEmpty():
+        return pairs
+    level = level.join(_labelled(classes.select("cls", "n", "sketch"), pairs), "cls")
     work = None
     for depth in range(LEVELS + 1):
         per = level.groupBy("node", "comp").agg(F.count("*").alias("k")).groupBy("node").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("comps")).where("comps > 1")
@@ -221,16 +246,41 @@ def links_of(classes: DataFrame, texts: DataFrame) -> DataFrame:
         if large.isEmpty():
             break
         if depth == LEVELS:
-            # The exact way for the rest: every two blocks of a node are compared.
-            by = large.groupBy("node").agg(F.ceil(F.count("*") / (BLOCK // 2)).cast("int").alias("blocks"))
-            b = large.join(by, "node").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-            b = b.withColumn("other", F.explode(F.expr("filter(sequence(0, blocks - 1), x -> x <> block OR blocks = 1)")))
-            work = work.unionByName(b.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("grp"), "cls", "comp", "n", "sketch"))
+            work = work.unionByName(_cells(large.withColumnRenamed("node", "key")))  # the exact way for the rest
             break
         which = F.explode(F.array(*[F.pmod(F.xxhash64("node", F.lit(k)), F.lit(SKETCH)).cast("int") for k in range(BRANCHES)])).alias("at")
         level = large.select("*", which).withColumn("node", F.xxhash64("node", "at", F.expr("substring(sketch, at + 1, 1)"))).drop("at").distinct()
-    more = stored(_compare(work, False), "across")
-    return links.unionByName(_confirm(more, texts))
+    return pairs.unionByName(stored(_grouped(work, _forests), "apart"))
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """rows (key, cls, comp, ...) by `grp`, groups of at most about two blocks in which any two rows of a key in different components meet.
+
+    The key's largest component is cut into blocks, and so is the rest; each block of the one meets each of the other,
+    and blocks of the rest meet each other. Rows of the largest component never meet for their own sake.
+    """
+    per = rows.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "comp")).alias("most"), F.sum("k").alias("all"), F.count("*").alias("comps")).where("comps > 1")
+    per = per.select("key", F.col("most.comp").alias("_most"), F.ceil(F.col("most.k") / BLOCK).alias("_gb"), F.ceil((F.col("all") - F.col("most.k")) / BLOCK).alias("_rb"))
+    x = rows.join(per, "key").withColumn("_in", F.col("comp") == F.col("_most"))
+    x = x.withColumn("_b", F.pmod(F.xxhash64("cls"), F.when(F.col("_in"), F.col("_gb")).otherwise(F.col("_rb"))))
+    every = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
+    mine = F.transform(every("_rb"), lambda j: F.xxhash64("key", F.lit("g"), F.col("_b"), j))
+    theirs = F.concat(
+        F.transform(every("_gb"), lambda i: F.xxhash64("key", F.lit("g"), i, F.col("_b"))),
+        F.transform(F.filter(every("_rb"), lambda j: j != F.col("_b")), lambda j: F.xxhash64("key", F.lit("r"), F.least(j, F.col("_b")), F.greatest(j, F.col("_b")))),
+    )
+    return x.withColumn("grp", F.explode(F.when(F.col("_in"), mine).otherwise(theirs))).select("grp", "cls", "comp", "n", "sketch")
+
+
+def links_of(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) between classes (cls, n, tokens, sketch), enough for their components."""
+    pairs = stored(_candidates(classes), "candidates")
+    clusters = stored(components(pairs), "clusters")
+    texts = stored(docs.join(clusters.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), "texts")
+    links = stored(_confirm(pairs, texts), "confirmed")
+    members = classes.select("cls", "n", "sketch").join(clusters.select(F.col("id").alias("cls"), F.col("component").alias("key")), "cls")
+    cells = _cells(_labelled(members, links)).join(texts.select(F.col("doc_id").alias("cls"), "text"), "cls")
+    return links.unionByName(stored(_grouped(cells, _joined, "text"), "joined"))
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
