@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from plumbline.plans import base, takeoff  # noqa: F401
+
 FLAGSHIP = "quantity_by_designation"
 
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(base.ORACLES)
