@@ -30,8 +30,8 @@ from plumbline.llm.components import components
 SHINGLE, SIMILAR = 5, 75
 #: Independent trees; bytes of a sketch (one for each minwise hash); branches and levels of large nodes.
 TREES, SKETCH, BRANCHES, LEVELS = 12, 96, 2, 4
-#: Rows of a block; comparisons and rows that a node may have to be compared whole; hashes that a task keeps of texts.
-BLOCK, MOST_WORK, MOST_ROWS, MOST_KEPT = 1000, 4_000_000, 100_000, 10_000_000
+#: Rows of a block; comparisons and rows that a node may have to be compared whole.
+BLOCK, MOST_WORK, MOST_ROWS = 1000, 4_000_000, 100_000
 #: Least sketch agreement of a pair to be confirmed: four and a half standard deviations below the threshold.
 AGREE = 0.75 - 4.5 * (0.75 * 0.25 / SKETCH) ** 0.5
 
@@ -159,24 +159,32 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links that join components of each group, confirmed on full sets."""
-    for cls, comp, n, sk, texts in _groups(batches):
+    """Links that join components of each group, on full sets.
+
+    An inverted list of each shingle gives a row's intersections with all rows at once, so texts that are close to the
+    threshold but below it cost no more than others.
+    """
+    for cls, comp, _, _, texts in _groups(batches):
+        m = len(cls)
+        sets = [shingles(words_lower(t.as_py())) for t in texts]
+        size = np.fromiter(map(len, sets), np.int64, m)
+        owner = np.repeat(np.arange(m), size)
+        every, at = np.unique(np.concatenate(sets), return_inverse=True)
+        owners = owner[np.argsort(at, kind="stable")]  # rows by shingle
+        first = np.append(0, np.cumsum(np.bincount(at, minlength=len(every))))
+        cut = np.append(0, np.cumsum(size))
+        values, own, count = np.unique(comp, return_inverse=True, return_counts=True)
+        largest = own == count.argmax()
         forest, out = _Forest(comp), []
-        kept: dict[int, np.ndarray] = {}
-        held = 0
-        for i, j in zip(*_similar(comp, n, sk), strict=True):
-            if forest.top(i) == forest.top(j):
-                continue
-            for x in (i, j):
-                if x not in kept:
-                    if held > MOST_KEPT:
-                        kept, held = {}, 0
-                    kept[x] = shingles(words_lower(texts[x].as_py()))
-                    held += len(kept[x])
-            a = kept[i] if i in kept else shingles(words_lower(texts[i].as_py()))
-            if _linked(a, kept[j]):
-                forest.join(i, j)
-                out.append((min(cls[i], cls[j]), max(cls[i], cls[j])))
+        for i in np.flatnonzero(~largest).tolist():
+            mine = at[cut[i] : cut[i + 1]]
+            start, length = first[mine], first[mine + 1] - first[mine]
+            places = np.repeat(start - np.append(0, np.cumsum(length)[:-1]), length) + np.arange(length.sum())
+            both = np.bincount(owners[places], minlength=m)
+            for j in np.flatnonzero((100 * both >= SIMILAR * (size[i] + size - both)) & (comp != comp[i])).tolist():
+                if forest.top(i) != forest.top(j):
+                    forest.join(i, j)
+                    out.append((min(cls[i], cls[j]), max(cls[i], cls[j])))
         if out:
             yield rows_out(dict(zip("ab", zip(*out, strict=True), strict=True)), PAIRS)
 
@@ -211,30 +219,33 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(_confirmed, "a long, b long").distinct()
 
 
-def _labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """classes (cls, n, sketch) with `comp`, their component by the links."""
-    c = components(links).withColumnRenamed("id", "cls")
-    return classes.join(c, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
+def _labelled(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """classes (cls, n, sketch) with `comp`, their component in found (id, component)."""
+    return classes.join(found.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """Similar pairs (a, b) by sketch, enough for their clusters."""
+def _nodes(classes: DataFrame) -> DataFrame:
+    """(node, cls, size): the trees' first level, without nodes of one class."""
     first = classes.select("cls", F.posexplode("tokens").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "cls")
-    size = first.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-    nodes = stored(first.join(size, "node"), "nodes")
-    sketches = classes.select("cls", "n", "sketch", F.col("cls").alias("comp"))
-    # Large nodes are cut into blocks that share their least class.
+    return first.join(first.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "node")
+
+
+def _near(nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """Forests (a, b) of the nodes' similar pairs. Large nodes are cut into blocks that share their least class."""
     blocks = F.ceil(F.col("size") / BLOCK)
     cut = nodes.select("node", "cls", F.pmod(F.xxhash64("cls"), blocks).alias("block"))
     hubs = nodes.where(F.col("size") > BLOCK).groupBy("node").agg(F.min("cls").alias("cls"), F.first("size").alias("size")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
     cut = cut.unionByName(hubs.select("node", "cls", "block")).distinct()
-    pairs = stored(_grouped(cut.select(F.xxhash64("node", "block").alias("grp"), "cls").join(sketches, "cls"), _forests), "forests")
+    sketches = classes.select("cls", "n", "sketch", F.col("cls").alias("comp"))
+    return _grouped(cut.select(F.xxhash64("node", "block").alias("grp"), "cls").join(sketches, "cls"), _forests)
+
 
-    # What the blocks of a large node kept apart.
+def _apart(nodes: DataFrame, labelled: DataFrame) -> DataFrame | None:
+    """Similar pairs (a, b) of different components that the blocks of a large node kept apart; None if no node is large."""
     level = nodes.where(F.col("size") > BLOCK).select("node", "cls")
     if level.isEmpty():
-        return pairs
-    level = level.join(_labelled(classes.select("cls", "n", "sketch"), pairs), "cls")
+        return None
+    level = level.join(labelled, "cls")
     work = None
     for depth in range(LEVELS + 1):
         per = level.groupBy("node", "comp").agg(F.count("*").alias("k")).groupBy("node").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("comps")).where("comps > 1")
@@ -250,7 +261,7 @@ def _candidates(classes: DataFrame) -> DataFrame:
             break
         which = F.explode(F.array(*[F.pmod(F.xxhash64("node", F.lit(k)), F.lit(SKETCH)).cast("int") for k in range(BRANCHES)])).alias("at")
         level = large.select("*", which).withColumn("node", F.xxhash64("node", "at", F.expr("substring(sketch, at + 1, 1)"))).drop("at").distinct()
-    return pairs.unionByName(stored(_grouped(work, _forests), "apart"))
+    return _grouped(work, _forests)
 
 
 def _cells(rows: DataFrame) -> DataFrame:
@@ -272,15 +283,30 @@ def _cells(rows: DataFrame) -> DataFrame:
     return x.withColumn("grp", F.explode(F.when(F.col("_in"), mine).otherwise(theirs))).select("grp", "cls", "comp", "n", "sketch")
 
 
-def links_of(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) between classes (cls, n, tokens, sketch), enough for their components."""
-    pairs = stored(_candidates(classes), "candidates")
-    clusters = stored(components(pairs), "clusters")
-    texts = stored(docs.join(clusters.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), "texts")
-    links = stored(_confirm(pairs, texts), "confirmed")
-    members = classes.select("cls", "n", "sketch").join(clusters.select(F.col("id").alias("cls"), F.col("component").alias("key")), "cls")
-    cells = _cells(_labelled(members, links)).join(texts.select(F.col("doc_id").alias("cls"), "text"), "cls")
-    return links.unionByName(stored(_grouped(cells, _joined, "text"), "joined"))
+def components_of(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, component) of the classes (cls, n, tokens, sketch) that confirmed links reach."""
+    nodes = stored(_nodes(classes), "nodes")
+    pairs = stored(_near(nodes, classes), "forests")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = stored(docs.join(met, "doc_id", "left_semi"), "texts")
+    first = stored(components(_confirm(pairs, texts)), "first")
+    labelled = stored(_labelled(classes.select("cls", "n", "sketch"), first), "labelled")
+    more = _apart(nodes, labelled)
+    if more is not None:
+        more = stored(more, "apart")
+        pairs = pairs.unionByName(more)
+        rest = more.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(met, "doc_id", "left_anti")
+        texts = texts.unionByName(docs.join(rest, "doc_id", "left_semi"))
+    clusters = components(pairs)
+    cells = _cells(labelled.join(clusters.select(F.col("id").alias("cls"), F.col("component").alias("key")), "cls"))
+    joined = stored(_grouped(cells.join(texts.select(F.col("doc_id").alias("cls"), "text"), "cls"), _joined, "text"), "joined")
+    if joined.isEmpty():
+        return first
+    # The new links join components, of which there are far fewer than classes.
+    comp = labelled.select("cls", "comp")
+    lifted = joined.join(comp.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("cls").alias("b"), F.col("comp").alias("cb")), "b")
+    merged = components(lifted.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("id").alias("comp"), F.col("component").alias("merged"))
+    return comp.join(merged, "comp", "left").select(F.col("cls").alias("id"), F.coalesce("merged", "comp").alias("component"))
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -298,7 +324,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     members = stored(some.groupBy("content").agg(F.min("doc_id").alias("cls")), "classes")
     # A class's tokens are those of its least document, so only that row's are read.
     classes = stored(some.join(members.select(F.col("cls").alias("doc_id"), F.col("content").alias("_c")), "doc_id").where("content = _c").select(F.col("doc_id").alias("cls"), "n", "tokens", "sketch").dropDuplicates(["cls"]), "least")
-    found = components(links_of(classes, d)).withColumnRenamed("id", "cls")
+    found = components_of(classes, d).withColumnRenamed("id", "cls")
     of = members.join(found, "cls", "left").select("content", F.coalesce("component", "cls").alias("component_id"))
     rest = hashed.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     out = some.select("doc_id", "n", "content").join(of, "content").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(rest)
