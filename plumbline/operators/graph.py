@@ -13,11 +13,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
     hung = both.join(least, "a")
     out = hung.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else hung.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    out = out.where("a <> b")
+    return out if large else out.distinct()  # what the large stars repeat, the small ones sum
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) for every end of edges (a, b): the least id that can be reached; by alternating large and small stars."""
+    """(id, component) for every end of edges (a, b): the least id that can be reached; by alternating large and small stars.
+
+    Each round shuffles the edges and sums them before it does; a hub is no group that anyone collects. Repeated edges
+    and nulls do no harm, an empty table gives an empty result.
+    """
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     alone = edges.where("a = b").select(F.col("a").alias("id"), F.col("a").alias("component"))
     sign = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

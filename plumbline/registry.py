@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.plans import base, filters, graphs, joins, ordered, product, scalars, takeoff  # noqa: F401
+from plumbline.plans import base, filters, governance, graphs, joins, ordered, product, scalars, takeoff  # noqa: F401
 
 FLAGSHIP = "quantity_by_designation"
 
