@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm._shared import ASCII_LOWER, rows_out, stored
-from plumbline.llm.components import components
+from plumbline.operators.graph import components
 
 #: Words in a shingle; the threshold as 100 * intersection >= SIMILAR * union.
 SHINGLE, SIMILAR = 5, 75
