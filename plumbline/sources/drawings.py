@@ -17,7 +17,7 @@ NUMBER = re.compile(r"-?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?")
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """(file, body), one row a file."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("body"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("body"))
 
 
 def dxf_entities(body: str) -> Iterator[tuple[str, str, list[tuple[float, float]], str | None]]:
