@@ -1,7 +1,7 @@
 """Quality rules with a suffix array over each text's words.
 
-Every suffix that shares its first `LEAST` words with another one of the same text is sorted by prefix doubling (the
-other suffixes cannot begin a repeat). Neighbours' longest common prefixes are read off the doubling levels; the
+A text's suffixes are sorted by their first `LEAST` words, and those that share them with another one further, by
+prefix doubling (the others cannot begin a repeat). Neighbours' longest common prefixes are read off the doubling levels; the
 larger of a suffix's two is the longest repeat that starts there, and the union of these spans is what repeats. All
 texts of a batch are sorted together, in numpy, with the text's number as first key, so no step loops over words.
 """
@@ -43,42 +43,38 @@ def _spans_union(n: int, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def repeats(words: np.ndarray, doc: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(start, length) of the longest repeat at every place where one of at least `least` words starts.
-
-    words: hashes of all texts' words one after the other; doc: the text's number, not falling. Repeats are looked
-    for within a text only, and may overlap themselves.
-    """
+def _suffix_array(words: np.ndarray, doc: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of the longest repeat at each place whose first `least` words stand twice in its text."""
     n = len(words)
-    if n < least + 1:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    gram = words[: n - least + 1]
-    for k in range(1, least):
-        gram = _mixed(gram, words[k : n - least + 1 + k])
-    whole = doc[: n - least + 1] == doc[least - 1 :]
-    at = np.flatnonzero(whole)
-    gram = _mixed(gram[at], doc[at].astype(np.uint64))
-    order = np.argsort(gram, kind="stable")
-    g = gram[order]
-    same = g[1:] == g[:-1]
-    twice = np.zeros(len(g), bool)
-    twice[1:] |= same
-    twice[:-1] |= same
-    at = at[order[twice]]  # places of the suffixes left, in groups of equal first words
+    # All suffixes by text and first words; a rank is the place of the first suffix of its group, so ranks of refined groups stay in order.
+    keys = [doc.astype(np.uint64)]
+    for k in range(least):
+        ahead = np.zeros(n, np.uint64)
+        ahead[: n - k] = np.where(doc[: n - k] == doc[k:], words[k:] | np.uint64(1), 0)
+        keys.append(ahead)
+    order = np.lexsort(keys[::-1])
+    fresh = np.zeros(n, bool)
+    fresh[0] = True
+    for key in keys:
+        fresh[1:] |= key[order[1:]] != key[order[:-1]]
+    start = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    rank = np.full(n + 1, -1, np.int64)
+    rank[order] = start
+    alone = fresh & np.append(fresh[1:], True)
+    at = order[~alone]
     if not len(at):
         return at, at
-    fresh = np.append(True, ~same)[twice]
-    rank = np.full(n + 1, -1, np.int64)
-    rank[at] = np.cumsum(fresh)
     levels, k = [(least, rank)], least
     while True:
-        own, ahead = rank[at], np.where(at + k < n, rank[np.minimum(at + k, n)], -1)
-        ahead = np.where(ahead >= 0, ahead, -1 - at)  # a suffix that no other shares its first words with is alone
-        order = np.lexsort((ahead, own))
-        at, own, ahead = at[order], own[order], ahead[order]
-        fresh = np.append(True, (own[1:] != own[:-1]) | (ahead[1:] != ahead[:-1]))
-        rank = np.full(n + 1, -1, np.int64)
-        rank[at] = np.cumsum(fresh)
+        far = np.minimum(at + k, n)
+        own, ahead = rank[at], np.where((far < n) & (doc[np.minimum(far, n - 1)] == doc[at]), rank[far], -1)
+        o = np.lexsort((ahead, own))
+        at, own, ahead = at[o], own[o], ahead[o]
+        group = np.append(True, own[1:] != own[:-1])
+        fresh = group | np.append(True, ahead[1:] != ahead[:-1])
+        place = np.arange(len(at))
+        rank = rank.copy()
+        rank[at] = own + place[fresh][np.cumsum(fresh) - 1] - place[group][np.cumsum(group) - 1]
         if fresh.all():
             break
         k *= 2
@@ -89,12 +85,35 @@ def repeats(words: np.ndarray, doc: np.ndarray, least: int = LEAST) -> tuple[np.
         x, y = r[np.minimum(a + lcp, n)], r[np.minimum(b + lcp, n)]
         lcp += np.where((x >= 0) & (x == y), step, 0)
     for _ in range(least - 1):
-        x, y = a + lcp, b + lcp
-        ok = (lcp > 0) & (x < n) & (y < n)
-        x, y = np.minimum(x, n - 1), np.minimum(y, n - 1)
-        lcp += ok & (words[x] == words[y]) & (doc[x] == doc[a]) & (doc[y] == doc[b])
-    longest = np.maximum(np.append(0, lcp), np.append(lcp, 0))
-    return at, longest
+        x, y = np.minimum(a + lcp, n - 1), np.minimum(b + lcp, n - 1)
+        lcp += (lcp > 0) & (np.maximum(a, b) + lcp < n) & (words[x] == words[y]) & (doc[x] == doc[a]) & (doc[y] == doc[b])
+    return at, np.maximum(np.append(0, lcp), np.append(lcp, 0))
+
+
+def repeats(words: np.ndarray, doc: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of the longest repeat at every place where one of at least `least` words starts.
+
+    words: hashes of all texts' words one after the other; doc: the text's number, not falling. Repeats are looked
+    for within a text only, and may overlap themselves. Texts in which no `least` words stand twice have none and are
+    not sorted further.
+    """
+    n = len(words)
+    if n < least + 1:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    gram = words[: n - least + 1]
+    for k in range(1, least):
+        gram = _mixed(gram, words[k : n - least + 1 + k])
+    at = np.flatnonzero(doc[: n - least + 1] == doc[least - 1 :])
+    gram = _mixed(gram[at], doc[at].astype(np.uint64))
+    order = np.argsort(gram, kind="stable")
+    same = gram[order[1:]] == gram[order[:-1]]
+    if not same.any():
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    some = np.zeros(int(doc[-1]) + 1, bool)
+    some[doc[at[order[1:]][same]]] = True
+    where = np.flatnonzero(some[doc])
+    start, length = _suffix_array(words[where], doc[where], least)
+    return where[start], length
 
 
 def measures(texts: list[str | None]) -> dict[str, np.ndarray]:
