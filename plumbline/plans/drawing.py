@@ -13,13 +13,13 @@ from plumbline.plans.base import query, table
 from plumbline.plans.graphs import EDGES, edges
 
 #: A line item as a horizontal stroke: its pen, height and ends.
-STROKES = "s AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS pen, l_partkey % 400 AS y, l_orderkey % 900 AS x0, l_orderkey % 900 + CAST(l_quantity AS BIGINT) AS x1 FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber < 5)"
+STROKES = "s AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS pen, l_partkey % 400 AS y, l_orderkey % 900 AS x0, l_orderkey % 900 + CAST(l_quantity AS BIGINT) AS x1 FROM lineitem WHERE l_returnflag = 'A')"
 
 
 def strokes(spark, sf_dir):
     x = F.col("l_orderkey") % 900
     y = F.col("l_partkey") % 400
-    s = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A' AND l_linenumber < 5")
+    s = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'")
     return s.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("pen"), x.alias("x0"), y.alias("y0"), (x + F.col("l_quantity").cast("bigint")).alias("x1"), y.alias("y1"))
 
 
@@ -217,12 +217,12 @@ def propagated_identity(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT l_orderkey AS sheet, l_linenumber AS line, l_quantity AS q, l_tax AS t, l_suppkey AS s FROM lineitem)
-SELECT sheet, line, CASE WHEN q <= 2 THEN 'SHEET EDGE' WHEN s % 10 = 0 THEN 'RISER' WHEN t = 0 THEN 'SYMBOL' WHEN q >= 45 THEN 'OTHER IDENTITY' WHEN s % 3 = 0 THEN 'UNOWNED BEYOND' ELSE 'OPEN' END AS reason FROM e WHERE line = 1""")
+SELECT sheet, line, CASE WHEN q <= 2 THEN 'SHEET EDGE' WHEN s % 10 = 0 THEN 'RISER' WHEN t = 0 THEN 'SYMBOL' WHEN q >= 45 THEN 'OTHER IDENTITY' WHEN s % 3 = 0 THEN 'UNOWNED BEYOND' ELSE 'OPEN' END AS reason FROM e""")
 def frontier_reasons(spark, sf_dir):
     """Why a pipe ends where it does: the first reason that fits, none is silent."""
     q, t, s = F.col("l_quantity"), F.col("l_tax"), F.col("l_suppkey")
     reason = F.when(q <= 2, "SHEET EDGE").when(s % 10 == 0, "RISER").when(t == 0, "SYMBOL").when(q >= 45, "OTHER IDENTITY").when(s % 3 == 0, "UNOWNED BEYOND").otherwise("OPEN")
-    return table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("sheet"), F.col("l_linenumber").alias("line"), reason.alias("reason"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sheet"), F.col("l_linenumber").alias("line"), reason.alias("reason"))
 
 
 @query("""WITH c AS (SELECT o_orderkey AS case_id, count(l_orderkey) AS evidence, count(DISTINCT l_suppkey) AS names FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity >= 40 WHERE o_orderstatus = 'O' GROUP BY ALL)
@@ -248,10 +248,10 @@ def unresolved_issues(spark, sf_dir):
     return reduce(DataFrame.unionByName, [df.agg(F.lit(i).alias("issue"), F.lit(s).alias("severity"), F.count("*").alias("n")) for i, s, df in left])
 
 
-@query("""SELECT l_suppkey AS pen, count(*) AS strokes, bool_and(l_quantity > 1) AS all_at_labels, bool_and(l_quantity > 1) AND count(*) >= 8 AS writes FROM lineitem WHERE l_linenumber = 2 AND l_returnflag = 'A' GROUP BY l_suppkey""")
+@query("""SELECT l_partkey AS pen, count(*) AS strokes, bool_and(l_quantity > 1) AS all_at_labels, bool_and(l_quantity > 1) AND count(*) >= 8 AS writes FROM lineitem GROUP BY l_partkey""")
 def writing_pens(spark, sf_dir):
     """Pens of which every stroke ends at a label, and that have enough strokes to tell."""
-    g = table(spark, sf_dir, "lineitem").where("l_linenumber = 2 AND l_returnflag = 'A'").groupBy(F.col("l_suppkey").alias("pen"))
+    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("pen"))
     at = F.bool_and(F.col("l_quantity") > 1)
     return g.agg(F.count("*").alias("strokes"), at.alias("all_at_labels"), (at & (F.count("*") >= 8)).alias("writes"))
 

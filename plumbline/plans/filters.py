@@ -128,11 +128,11 @@ def corrections_search(spark, sf_dir):
     return e.orderBy(F.desc("ts"), F.desc("event_id")).offset(20).limit(100).select(F.col("event_id").alias("correction"), "user_id", F.col("event_type").alias("kind"))
 
 
-@query("""SELECT l_orderkey AS sheet, l_linenumber AS line, CASE WHEN l_tax = 0 AND l_discount = 0 THEN 'EMPTY' WHEN l_discount > 0.05 THEN 'FILL BOUNDARY' ELSE 'STROKED' END AS verdict FROM lineitem WHERE l_quantity = 50""")
+@query("""SELECT l_orderkey AS sheet, l_linenumber AS line, CASE WHEN l_tax = 0 AND l_discount = 0 THEN 'EMPTY' WHEN l_discount > 0.05 THEN 'FILL BOUNDARY' ELSE 'STROKED' END AS verdict FROM lineitem""")
 def ink_verdict(spark, sf_dir):
     """What a path is by its kind and width."""
     v = F.when((F.col("l_tax") == 0) & (F.col("l_discount") == 0), "EMPTY").when(F.col("l_discount") > 0.05, "FILL BOUNDARY").otherwise("STROKED")
-    return table(spark, sf_dir, "lineitem").where("l_quantity = 50").select(F.col("l_orderkey").alias("sheet"), F.col("l_linenumber").alias("line"), v.alias("verdict"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sheet"), F.col("l_linenumber").alias("line"), v.alias("verdict"))
 
 
 @query("""SELECT l_returnflag || '|' || l_linestatus || '|w' || CAST(CAST(l_quantity AS INT) % 5 AS VARCHAR) AS pen, count(*) AS paths, sum(CAST(l_quantity AS BIGINT))::BIGINT AS ink FROM lineitem GROUP BY ALL""")

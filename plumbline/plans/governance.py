@@ -47,10 +47,10 @@ def signature_diff(spark, sf_dir):
     return n(a, b, "only first").unionByName(n(b, a, "only second"))
 
 
-@query("""WITH i AS (SELECT p_partkey AS id, p_name AS stem, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS qualifier FROM part WHERE p_partkey < 120), s AS (SELECT stem, CASE WHEN count(DISTINCT qualifier) = 1 THEN min(qualifier) END AS sole FROM i GROUP BY stem) SELECT id, stem, coalesce(qualifier, sole) AS qualifier FROM i JOIN s USING (stem)""")
+@query("""WITH i AS (SELECT p_partkey AS id, p_name || p_size AS stem, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS qualifier FROM part), s AS (SELECT stem, CASE WHEN count(DISTINCT qualifier) = 1 THEN min(qualifier) END AS sole FROM i GROUP BY stem) SELECT id, stem, coalesce(qualifier, sole) AS qualifier FROM i JOIN s USING (stem)""")
 def complete_identities(spark, sf_dir):
     """A missing qualifier is filled in if its stem states exactly one."""
-    i = table(spark, sf_dir, "part").where("p_partkey < 120").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("stem"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).alias("qualifier"))
+    i = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.col("p_size").cast("string")).alias("stem"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).alias("qualifier"))
     w = W.partitionBy("stem")
     only = F.when(F.min("qualifier").over(w) == F.max("qualifier").over(w), F.min("qualifier").over(w))
     return i.select("id", "stem", F.coalesce("qualifier", only).alias("qualifier"))
@@ -72,13 +72,13 @@ def chosen_reading(spark, sf_dir):
     return r.groupBy("word").agg(F.min_by("text", F.struct(-F.col("votes"), -F.col("score"), F.length("text"), "text")).alias("reading"))
 
 
-@query("""WITH v AS (SELECT DISTINCT p_name AS word FROM part), w AS (SELECT p_partkey AS id, substr(p_name, 1, 3) || '?' || substr(p_name, 5) AS mask FROM part WHERE p_partkey < 300) SELECT id, mask, CASE WHEN count(*) = 1 THEN min(word) END AS word, count(*) AS fits FROM w JOIN v ON length(word) = length(mask) AND substr(word, 1, 3) = substr(mask, 1, 3) AND substr(word, 5) = substr(mask, 5) GROUP BY ALL""")
+@query("""WITH v AS (SELECT DISTINCT p_name AS word FROM part), w AS (SELECT p_partkey AS id, substr(p_name, 1, 3) || '?' || substr(p_name, 5) AS mask FROM part) SELECT id, mask, CASE WHEN count(*) = 1 THEN min(word) END AS word, count(*) AS fits FROM w JOIN v ON length(word) = length(mask) AND substr(word, 1, 3) = substr(mask, 1, 3) AND substr(word, 5) = substr(mask, 5) GROUP BY ALL""")
 def unknown_characters(spark, sf_dir):
     """A word with one unknown character, completed only if one word of the vocabulary fits."""
     p = table(spark, sf_dir, "part")
     key = lambda c: F.concat(F.substring(c, 1, 3), F.lit("?"), F.substring(c, 5, 100))
     v = p.select(F.col("p_name").alias("word")).distinct().withColumn("mask", key("word"))
-    w = p.where("p_partkey < 300").select(F.col("p_partkey").alias("id"), key("p_name").alias("mask"))
+    w = p.select(F.col("p_partkey").alias("id"), key("p_name").alias("mask"))
     return w.join(v, "mask").groupBy("id", "mask").agg(F.count("*").alias("fits"), F.min("word").alias("_w")).select("id", "mask", F.when(F.col("fits") == 1, F.col("_w")).alias("word"), "fits")
 
 
@@ -207,12 +207,12 @@ def markup_overlap(spark, sf_dir):
     return n.join(o, ["line", "x"], "left").groupBy("line").agg(F.sum("k").alias("samples"), F.sum(F.col("k") * F.coalesce("hit", F.lit(0))).alias("near"))
 
 
-@query("""WITH x AS (SELECT l_suppkey AS band, l_partkey AS y FROM lineitem WHERE l_quantity = 50), d AS (SELECT DISTINCT band, y FROM x), f AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY band ORDER BY y) <= 25 THEN 0 ELSE 1 END AS fresh FROM d), g AS (SELECT *, sum(fresh) OVER (PARTITION BY band ORDER BY y ROWS UNBOUNDED PRECEDING) AS row FROM f) SELECT band, row::BIGINT AS row, min(y) AS lo, max(y) AS hi, count(*) AS members FROM g GROUP BY band, row""")
+@query("""WITH x AS (SELECT l_suppkey AS band, l_partkey AS y FROM lineitem), d AS (SELECT DISTINCT band, y FROM x), f AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY band ORDER BY y) <= 5 THEN 0 ELSE 1 END AS fresh FROM d), g AS (SELECT *, sum(fresh) OVER (PARTITION BY band ORDER BY y ROWS UNBOUNDED PRECEDING) AS row FROM f) SELECT band, row::BIGINT AS row, min(y) AS lo, max(y) AS hi, count(*) AS members FROM g GROUP BY band, row""")
 def row_clusters(spark, sf_dir):
     """Words of a band in rows, a row ending where the gap is too large."""
-    d = table(spark, sf_dir, "lineitem").where("l_quantity = 50").select(F.col("l_suppkey").alias("band"), F.col("l_partkey").alias("y")).distinct()
+    d = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("band"), F.col("l_partkey").alias("y")).distinct()
     w = W.partitionBy("band").orderBy("y")
-    f = d.withColumn("_f", F.when(F.col("y") - F.lag("y").over(w) <= 25, 0).otherwise(1))
+    f = d.withColumn("_f", F.when(F.col("y") - F.lag("y").over(w) <= 5, 0).otherwise(1))
     g = f.withColumn("row", F.sum("_f").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
     return g.groupBy("band", "row").agg(F.min("y").alias("lo"), F.max("y").alias("hi"), F.count("*").alias("members"))
 

@@ -50,11 +50,11 @@ def free_ends(spark, sf_dir):
     return graph.degrees(edges(spark, sf_dir)).where("degree <= 1").select("id")
 
 
-@query("""SELECT l_suppkey AS node, count(DISTINCT p_size) AS sizes FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity = 50 GROUP BY ALL HAVING count(DISTINCT p_size) >= 2""")
+@query("""SELECT l_orderkey AS node, count(DISTINCT p_size) AS sizes FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL HAVING count(DISTINCT p_size) >= 2""")
 def size_frontiers(spark, sf_dir):
     """Nodes where two dimensions meet."""
-    j = table(spark, sf_dir, "lineitem").where("l_quantity = 50").join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
-    return j.groupBy(F.col("l_suppkey").alias("node")).agg(F.countDistinct("p_size").alias("sizes")).where("sizes >= 2")
+    j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
+    return j.groupBy(F.col("l_orderkey").alias("node")).agg(F.countDistinct("p_size").alias("sizes")).where("sizes >= 2")
 
 
 @query("""WITH m AS (SELECT DISTINCT l_partkey AS pipe, l_orderkey AS node FROM lineitem WHERE l_quantity >= 45) SELECT DISTINCT x.pipe AS a, y.pipe AS b FROM m x JOIN m y USING (node) WHERE x.pipe < y.pipe""")
@@ -79,11 +79,11 @@ def physical_pipes(spark, sf_dir):
     return c.groupBy(F.col("component").alias("pipe")).agg(F.count("*").alias("pieces"), F.array_sort(F.collect_list("id")).alias("members"))
 
 
-@query("""SELECT l_suppkey AS pen, min(p_type) AS identity FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity = 50 AND l_linenumber = 1 GROUP BY l_suppkey HAVING count(DISTINCT p_type) = 1 AND count(*) >= 2""")
+@query("""SELECT l_orderkey AS pen, min(p_type) AS identity FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey HAVING count(DISTINCT p_type) = 1 AND count(*) >= 2""")
 def uniform_pen_identity(spark, sf_dir):
     """Pens with two anchors or more that all agree."""
-    j = table(spark, sf_dir, "lineitem").where("l_quantity = 50 AND l_linenumber = 1").join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
-    return j.groupBy(F.col("l_suppkey").alias("pen")).agg(F.min("p_type").alias("identity"), F.countDistinct("p_type").alias("_k"), F.count("*").alias("_n")).where("_k = 1 AND _n >= 2").drop("_k", "_n")
+    j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
+    return j.groupBy(F.col("l_orderkey").alias("pen")).agg(F.min("p_type").alias("identity"), F.countDistinct("p_type").alias("_k"), F.count("*").alias("_n")).where("_k = 1 AND _n >= 2").drop("_k", "_n")
 
 
 @query("""WITH v AS (SELECT l_suppkey AS leader, p_type AS family, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 48 GROUP BY ALL), s AS (SELECT *, sum(n) OVER (PARTITION BY leader) AS total FROM v) SELECT leader, family, n FROM s WHERE total >= 3 AND n * 100 >= total * 35""")

@@ -67,11 +67,11 @@ def uncontested_claims(spark, sf_dir):
     return alone.join(n.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
 
 
-@query("""WITH p AS (SELECT DISTINCT l_suppkey % 37 AS a, l_partkey % 41 AS b FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 7 AND l_tax = 0.08)
+@query("""WITH p AS (SELECT DISTINCT l_orderkey * 100 + CAST(l_quantity AS BIGINT) AS a, l_partkey * 100 + CAST(l_quantity AS BIGINT) AS b FROM lineitem)
 SELECT a, b FROM (SELECT *, count(*) OVER (PARTITION BY a) AS na, count(*) OVER (PARTITION BY b) AS nb FROM p) WHERE na = 1 AND nb = 1""")
 def one_to_one_match(spark, sf_dir):
     """Rows and groups that have only each other."""
-    p = table(spark, sf_dir, "lineitem").where("l_quantity = 50 AND l_linenumber = 7 AND l_tax = 0.08").select((F.col("l_suppkey") % 37).alias("a"), (F.col("l_partkey") % 41).alias("b"))
+    p = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 100 + F.col("l_quantity").cast("bigint")).alias("a"), (F.col("l_partkey") * 100 + F.col("l_quantity").cast("bigint")).alias("b"))
     return choose.one_to_one(p, "a", "b")
 
 
@@ -99,11 +99,11 @@ def distinct_segments(spark, sf_dir):
     return s.groupBy("pen").agg(F.count("*").alias("segments"), F.sum(F.col("hi") - F.col("lo")).alias("ink"))
 
 
-@query("""WITH s AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS pen, l_suppkey AS lo, l_suppkey + CAST(l_quantity AS BIGINT) AS hi FROM lineitem WHERE l_partkey % 10 = 3)
+@query("""WITH s AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS pen, l_suppkey AS lo, l_suppkey + CAST(l_quantity AS BIGINT) AS hi FROM lineitem)
 SELECT a.id, max(least(a.hi, b.hi) - greatest(a.lo, b.lo))::BIGINT AS shared FROM s a JOIN s b ON a.pen = b.pen AND b.id < a.id AND least(a.hi, b.hi) > greatest(a.lo, b.lo) GROUP BY a.id""")
 def duplicate_overlaps(spark, sf_dir):
     """How much of a segment an earlier one of its pen already covers; reported, not taken off."""
-    s = table(spark, sf_dir, "lineitem").where("l_partkey % 10 = 3").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("pen"), F.col("l_suppkey").alias("lo"), (F.col("l_suppkey") + F.col("l_quantity").cast("bigint")).alias("hi"))
+    s = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("pen"), F.col("l_suppkey").alias("lo"), (F.col("l_suppkey") + F.col("l_quantity").cast("bigint")).alias("hi"))
     b = s.select(F.col("id").alias("b_id"), "pen", F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"))
     shared = F.least("hi", "b_hi") - F.greatest("lo", "b_lo")
     return s.join(b, "pen").where((F.col("b_id") < F.col("id")) & (shared > 0)).groupBy("id").agg(F.max(shared).alias("shared"))
@@ -128,14 +128,14 @@ def viewport_of_point(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), best.alias("viewport")).where("viewport IS NOT NULL")
 
 
-DIFF = """b AS (SELECT p_brand AS designation, sum(CAST(l_quantity AS BIGINT)) FILTER (l_shipdate < TIMESTAMP '2000-01-01') AS before, sum(CAST(l_quantity AS BIGINT)) FILTER (l_shipdate >= TIMESTAMP '2000-01-01') AS after FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_partkey < 400 AND l_linenumber = 3 AND l_quantity < 8 GROUP BY ALL)"""
+DIFF = """b AS (SELECT p_brand || '-' || l_partkey || '-' || l_linenumber AS designation, sum(CAST(l_quantity AS BIGINT)) FILTER (l_shipdate < TIMESTAMP '2000-01-01') AS before, sum(CAST(l_quantity AS BIGINT)) FILTER (l_shipdate >= TIMESTAMP '2000-01-01') AS after FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"""
 
 
 @query(f"""WITH {DIFF} SELECT designation, before::BIGINT AS before, after::BIGINT AS after, CASE WHEN before IS NULL THEN 'added' WHEN after IS NULL THEN 'removed' WHEN abs(after - before) * 20 > before THEN 'changed' ELSE 'unchanged' END AS change FROM b""")
 def revision_diff(spark, sf_dir):
     """What changed between two revisions; a change needs five per cent."""
-    li = table(spark, sf_dir, "lineitem").where("l_partkey < 400 AND l_linenumber = 3 AND l_quantity < 8").join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
-    side = lambda c, name: li.where(c).groupBy(F.col("p_brand").alias("designation")).agg(F.sum(F.col("l_quantity").cast("bigint")).alias(name))
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
+    side = lambda c, name: li.where(c).groupBy(F.concat_ws("-", "p_brand", "l_partkey", "l_linenumber").alias("designation")).agg(F.sum(F.col("l_quantity").cast("bigint")).alias(name))
     cut = F.lit("2000-01-01").cast("timestamp_ntz")
     j = side(F.col("l_shipdate") < cut, "before").join(side(F.col("l_shipdate") >= cut, "after"), "designation", "full_outer")
     change = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(F.abs(F.col("after") - F.col("before")) * 20 > F.col("before"), "changed").otherwise("unchanged")
@@ -187,12 +187,12 @@ def banded_lookup(spark, sf_dir):
     return interval.banded(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_size").alias("size")), [(10, 30), (25, 45), (45, 60)], "size", "minutes")
 
 
-@query("""WITH m AS (SELECT a.p_partkey AS want, b.p_partkey AS article, b.p_retailprice AS price, CASE WHEN a.p_name = b.p_name THEN 2 WHEN split_part(a.p_name, ' ', 2) = split_part(b.p_name, ' ', 2) THEN 1 ELSE 0 END AS hits, abs(a.p_size - b.p_size) AS off FROM part a JOIN part b ON a.p_type = b.p_type AND abs(a.p_size - b.p_size) <= 1 WHERE a.p_partkey < 200)
+@query("""WITH m AS (SELECT a.p_partkey AS want, b.p_partkey AS article, b.p_retailprice AS price, CASE WHEN a.p_name = b.p_name THEN 2 WHEN split_part(a.p_name, ' ', 2) = split_part(b.p_name, ' ', 2) THEN 1 ELSE 0 END AS hits, abs(a.p_size - b.p_size) AS off FROM part a JOIN part b ON a.p_type = b.p_type AND abs(a.p_size - b.p_size) <= 1)
 SELECT want, article, hits, rank FROM (SELECT *, row_number() OVER (PARTITION BY want ORDER BY hits DESC, price, article) AS rank FROM m) WHERE rank <= 6""")
 def article_match(spark, sf_dir):
     """The six best articles for each want: same kind, dimension within one, by words in common, price."""
     p = table(spark, sf_dir, "part")
-    a = p.where("p_partkey < 200").select(F.col("p_partkey").alias("want"), F.col("p_name").alias("w_name"), F.col("p_type").alias("w_type"), F.explode(F.expr("sequence(p_size - 1, p_size + 1)")).alias("w_size"))
+    a = p.select(F.col("p_partkey").alias("want"), F.col("p_name").alias("w_name"), F.col("p_type").alias("w_type"), F.explode(F.expr("sequence(p_size - 1, p_size + 1)")).alias("w_size"))
     j = a.join(p, F.expr("w_type = p_type AND w_size = p_size"))
     second = lambda c: F.split_part(F.col(c), F.lit(" "), F.lit(2))
     hits = F.when(F.col("w_name") == F.col("p_name"), 2).when(second("w_name") == second("p_name"), 1).otherwise(0)
@@ -209,27 +209,27 @@ def pen_memory(spark, sf_dir):
     return s.groupBy("pen").agg(F.max_by("system", F.struct("n", "system")).alias("system"), F.max("n").alias("n"))
 
 
-@query("""SELECT p_size AS code, min(p_type) AS role FROM part WHERE p_partkey < 100 GROUP BY p_size HAVING count(DISTINCT p_type) = 1""")
+@query("""SELECT p_name || p_size AS code, min(p_type) AS role FROM part GROUP BY ALL HAVING count(DISTINCT p_type) = 1""")
 def legend_without_conflict(spark, sf_dir):
     """Codes that have one role on all sheets."""
-    return table(spark, sf_dir, "part").where("p_partkey < 100").groupBy(F.col("p_size").alias("code")).agg(F.min("p_type").alias("role"), F.countDistinct("p_type").alias("_n")).where("_n = 1").drop("_n")
+    return table(spark, sf_dir, "part").groupBy(F.concat("p_name", F.col("p_size").cast("string")).alias("code")).agg(F.min("p_type").alias("role"), F.countDistinct("p_type").alias("_n")).where("_n = 1").drop("_n")
 
 
-@query("""WITH l AS (SELECT l_suppkey AS situation, min(l_linenumber) AS answer FROM lineitem WHERE l_quantity = 1 AND l_discount = 0 GROUP BY ALL HAVING count(DISTINCT l_linenumber) = 1), c AS (SELECT l_orderkey AS case_id, l_suppkey AS situation, list(DISTINCT l_linenumber) AS candidates FROM lineitem GROUP BY ALL)
+@query("""WITH l AS (SELECT l_partkey * 10000 + l_suppkey AS situation, min(l_linenumber) AS answer FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL HAVING count(DISTINCT l_linenumber) = 1), c AS (SELECT l_orderkey AS case_id, l_partkey * 10000 + l_suppkey AS situation, list(DISTINCT l_linenumber) AS candidates FROM lineitem GROUP BY ALL)
 SELECT case_id, situation, answer FROM c JOIN l USING (situation) WHERE list_contains(candidates, answer)""")
 def apply_lessons(spark, sf_dir):
     """A lesson settles a case only with an answer that is among the case's own candidates."""
     li = table(spark, sf_dir, "lineitem")
-    lesson = li.where("l_quantity = 1 AND l_discount = 0").groupBy(F.col("l_suppkey").alias("situation")).agg(F.min("l_linenumber").alias("answer"), F.countDistinct("l_linenumber").alias("_n")).where("_n = 1").drop("_n")
-    case = li.groupBy(F.col("l_orderkey").alias("case_id"), F.col("l_suppkey").alias("situation")).agg(F.collect_set("l_linenumber").alias("candidates"))
+    lesson = li.where("l_returnflag = 'A'").groupBy((F.col("l_partkey") * 10000 + F.col("l_suppkey")).alias("situation")).agg(F.min("l_linenumber").alias("answer"), F.countDistinct("l_linenumber").alias("_n")).where("_n = 1").drop("_n")
+    case = li.groupBy(F.col("l_orderkey").alias("case_id"), (F.col("l_partkey") * 10000 + F.col("l_suppkey")).alias("situation")).agg(F.collect_set("l_linenumber").alias("candidates"))
     return case.join(lesson, "situation").where(F.expr("array_contains(candidates, answer)")).select("case_id", "situation", "answer")
 
 
-@query("""SELECT DISTINCT l_partkey AS pipe, o_orderkey AS anchor, c_custkey AS designation, n_nationkey AS leader FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON n_nationkey = c_nationkey WHERE l_partkey < 50""")
+@query("""SELECT DISTINCT l_partkey AS pipe, o_orderkey AS anchor, c_custkey AS designation, n_nationkey AS leader FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON n_nationkey = c_nationkey""")
 def evidence_chain(spark, sf_dir):
     """From a pipe through its anchors to designations and leaders."""
     t = lambda n: table(spark, sf_dir, n)
-    j = t("lineitem").where("l_partkey < 50").join(t("orders"), F.expr("o_orderkey = l_orderkey"), "left").join(t("customer"), F.expr("o_custkey = c_custkey"), "left").join(t("nation"), F.expr("n_nationkey = c_nationkey"), "left")
+    j = t("lineitem").join(t("orders"), F.expr("o_orderkey = l_orderkey"), "left").join(t("customer"), F.expr("o_custkey = c_custkey"), "left").join(t("nation"), F.expr("n_nationkey = c_nationkey"), "left")
     return j.select(F.col("l_partkey").alias("pipe"), F.col("o_orderkey").alias("anchor"), F.col("c_custkey").alias("designation"), F.col("n_nationkey").alias("leader")).distinct()
 
 

@@ -83,12 +83,12 @@ def thinned_items(spark, sf_dir):
     return choose.thinned(r, ["sheet"], 90, F.col("place")).select("sheet", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item"), "place")
 
 
-@query("""WITH d AS (SELECT o_orderkey AS id, o_custkey AS number, o_orderpriority AS discipline, nullif(o_orderstatus, 'P') AS revision, o_orderdate AS dated FROM orders WHERE o_custkey < 300)
+@query("""WITH d AS (SELECT o_orderkey AS id, o_custkey AS number, o_orderpriority AS discipline, nullif(o_orderstatus, 'P') AS revision, o_orderdate AS dated FROM orders)
 SELECT a.id AS older, b.id AS newer, CASE WHEN a.revision <> b.revision THEN 'revision' ELSE 'date' END AS reason, CASE WHEN a.revision <> b.revision THEN 90 ELSE 80 END AS confidence
 FROM d a JOIN d b USING (number, discipline) WHERE a.id <> b.id AND CASE WHEN a.revision IS NOT NULL AND b.revision IS NOT NULL AND a.revision <> b.revision THEN a.revision < b.revision ELSE a.dated < b.dated END""")
 def version_pairs(spark, sf_dir):
     """Pairs of versions of one sheet in one discipline that can be ordered: by revision, else by date."""
-    d = table(spark, sf_dir, "orders").where("o_custkey < 300").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("number"), F.col("o_orderpriority").alias("discipline"), F.nullif("o_orderstatus", F.lit("P")).alias("revision"), F.col("o_orderdate").alias("dated"))
+    d = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("number"), F.col("o_orderpriority").alias("discipline"), F.nullif("o_orderstatus", F.lit("P")).alias("revision"), F.col("o_orderdate").alias("dated"))
     a, b = d.select(*[F.col(c).alias(f"a_{c}") for c in d.columns]), d.select(*[F.col(c).alias(f"b_{c}") for c in d.columns])
     differ = F.coalesce(F.col("a_revision") != F.col("b_revision"), F.lit(False))
     j = a.join(b, (F.col("a_number") == F.col("b_number")) & (F.col("a_discipline") == F.col("b_discipline")) & (F.col("a_id") != F.col("b_id")))

@@ -32,10 +32,10 @@ def segment_measures(spark, sf_dir):
 
 
 @query(f"""WITH {SEG}, d AS (SELECT sheet, line, greatest(0, least(1, coalesce(((250 - x0) * (x1 - x0) + (50 - y0) * (y1 - y0)) / nullif((x1 - x0) ** 2 + (y1 - y0) ** 2, 0), 0))) AS t, x0, y0, x1, y1 FROM s)
-SELECT sheet, line, CAST(floor(sqrt((x0 + t * (x1 - x0) - 250) ** 2 + (y0 + t * (y1 - y0) - 50) ** 2) * 1000 + 0.5) AS BIGINT) AS distance FROM d WHERE sheet % 10 = 1""")
+SELECT sheet, line, CAST(floor(sqrt((x0 + t * (x1 - x0) - 250) ** 2 + (y0 + t * (y1 - y0) - 50) ** 2) * 1000 + 0.5) AS BIGINT) AS distance FROM d""")
 def distance_to_point(spark, sf_dir):
     """Distance of each segment from a point."""
-    return segments(spark, sf_dir).where("sheet % 10 = 1").select("sheet", "line", MILLI(G.point_segment(F.lit(250.0), F.lit(50.0), *_s())["d"]).alias("distance"))
+    return segments(spark, sf_dir).select("sheet", "line", MILLI(G.point_segment(F.lit(250.0), F.lit(50.0), *_s())["d"]).alias("distance"))
 
 
 @query(f"""WITH {SEG}, c AS (SELECT *, greatest(0, CASE WHEN x1 > x0 THEN (100 - x0) / (x1 - x0) ELSE 0 END, CASE WHEN y1 > y0 THEN (20 - y0) / (y1 - y0) WHEN y1 < y0 THEN (80 - y0) / (y1 - y0) ELSE 0 END) AS t0, least(1, CASE WHEN x1 > x0 THEN (300 - x0) / (x1 - x0) ELSE 1 END, CASE WHEN y1 > y0 THEN (80 - y0) / (y1 - y0) WHEN y1 < y0 THEN (20 - y0) / (y1 - y0) ELSE 1 END) AS t1 FROM s)
