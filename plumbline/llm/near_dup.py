@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._shared import ASCII_LOWER, rows_out, stored
+from plumbline.llm._shared import rows_out, stored
 from plumbline.operators.graph import components
 
 #: Words in a shingle; the threshold as 100 * intersection >= SIMILAR * union.
@@ -58,7 +58,7 @@ def shingles(words: list[bytes]) -> np.ndarray:
 
 
 def words_lower(text: str | None) -> list[bytes]:
-    return (text or "").translate(ASCII_LOWER).encode("utf-8", "surrogatepass").split()
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes, only A-Z have lower-case forms
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

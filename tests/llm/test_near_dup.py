@@ -8,7 +8,7 @@ from plumbline.llm import near_dup as N
 def brute(rows):
     sets = {}
     for i, t in rows:
-        w = (t or "").translate(N.ASCII_LOWER).split()
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").split()
         sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
     comp = {i: i for i in sets}
     top = lambda x: x if comp[x] == x else top(comp[x])
@@ -36,7 +36,7 @@ def corpus():
     chain = [word() for _ in range(60)]
     for k in range(12):  # each near the next, the ends far apart
         rows.append(" ".join(chain[k * 2 :] + [word() for _ in range(2 * k)]))
-    rows += [None, "", " \n ", "One two", "one TWO", "one two three", rows[0].upper(), rows[0]]
+    rows += [None, "", " \n ", "One two", "one TWO", "É é Ü İ one two", "é é ü i one two", "one two three", rows[0].upper(), rows[0]]
     rng.shuffle(rows)
     return list(enumerate(rows))
 
