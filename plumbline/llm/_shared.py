@@ -14,7 +14,6 @@ from plumbline.sources.shared import shared_dir, stored  # noqa: F401
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
 
 def stored_by(df: DataFrame, name: str, key: str) -> DataFrame:
