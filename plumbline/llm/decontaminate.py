@@ -1,10 +1,10 @@
 """Benchmark decontamination by template windows.
 
 Numbers, names and units become typed placeholders, so a question asked again with other values has the same template.
-Windows of the benchmark's templates are joined by hash with windows of the documents' templates; as the benchmark
-gives its windows at every place, the documents give theirs at every `STRIDE`-th only, and a passage of
-`WINDOW + STRIDE - 1` tokens is met in any case. Each meeting fixes an alignment; there the whole item is
-compared token by token, and values in the slots must be renamed consistently to count. DataFrame functions only.
+Windows of the benchmark's templates are joined by hash with windows of the documents' templates, on both sides at every
+place; a template of hardly any words is hashed with its values. Each meeting fixes an alignment; there the whole item
+is compared token by token, and values in the slots must be renamed consistently to count. What agrees at any of a
+pair's alignments is added up, so that words put in or left out lose nothing but themselves. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 
 from plumbline.llm._shared import stored, words_of
 
-#: Tokens in a window, and between the documents' windows. Items below the least number of tokens are too short to tell.
-WINDOW, STRIDE, LEAST_TOKENS = 8, 4, 5
-#: A window needs so many tokens that are no placeholders.
+#: Tokens in a window, and in the widest for templates that have too few words in a shorter one. Items below the least number of tokens are too short to tell.
+WINDOW, WIDE, LEAST_TOKENS = 5, 8, 5
+#: A template needs so many tokens that are no placeholders; otherwise the window's values are hashed.
 LEAST_WORDS = 4
-#: Share of an item's tokens that must agree at one alignment.
-SHARE = 0.5
+#: Share of an item's tokens that must agree, or the tokens in one run that do whatever the share.
+SHARE, RUN = 0.5, 13
 #: Rows up to which a table counts as small enough to send to all executors (some tens of bytes each).
 BROADCAST_ROWS = 500_000
 #: Units of measure after a number.
@@ -62,12 +62,33 @@ def tokens(text: Column) -> Column:
     return F.filter(both, lambda x: x["t"] != "")
 
 
-def _windows(size: int, step: int) -> Column:
-    """Array of (pos, h) of the windows of column `tok`; without those of hardly any words."""
-    starts = F.when(F.size("tok") >= size, F.sequence(F.lit(0), F.size("tok") - size, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    cut = F.transform(starts, lambda p: F.struct(p.alias("pos"), F.transform(F.slice("tok", p + 1, size), lambda x: x["t"]).alias("w")))
-    enough = F.filter(cut, lambda x: F.size(F.filter(x["w"], lambda w: ~w.isin(NUM, NAME, UNIT))) >= min(LEAST_WORDS, size))
-    return F.transform(enough, lambda x: F.struct(x["pos"], F.xxhash64(F.array_join(x["w"], " ")).alias("h")))
+def _slot(x: Column) -> Column:
+    return x["t"].isin(NUM, NAME, UNIT)
+
+
+def _windows() -> Column:
+    """Array of (pos, h) of the windows of column `tok`, at every place.
+
+    A window with enough words is hashed by its template, else by its values and, up to a width of WIDE, by the
+    template of the shortest window from its place that has enough words. What is equal over a wider window meets
+    there, as both sides choose the same.
+    """
+    at = lambda f, p, k: F.xxhash64(F.lit(k if f == "t" else -k), *[F.get("tok", p + i)[f] for i in range(k)])
+    starts = F.when(F.size("tok") >= WINDOW, F.sequence(F.lit(0), F.size("tok") - WINDOW)).otherwise(F.array().cast("array<int>"))
+    flags = F.transform("tok", lambda x: F.when(_slot(x), 0).otherwise(1))
+
+    def both(is_word: Column) -> Column:
+        words = lambda p, k: sum((F.get(is_word, p + i) for i in range(1, k)), F.get(is_word, p))  # noqa: E731  (null beyond the end)
+
+        def hashes(p: Column) -> Column:
+            wider = F.when(words(p, WINDOW + 1) >= LEAST_WORDS, at("t", p, WINDOW + 1))
+            for k in range(WINDOW + 2, WIDE + 1):
+                wider = wider.when(words(p, k) >= LEAST_WORDS, at("t", p, k))
+            return F.when(words(p, WINDOW) >= LEAST_WORDS, F.array(at("t", p, WINDOW))).otherwise(F.array_compact(F.array(at("v", p, WINDOW), wider)))
+
+        return F.flatten(F.transform(starts, lambda p: F.transform(hashes(p), lambda h: F.struct(p.alias("pos"), h.alias("h")))))
+
+    return _let(flags, both)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -76,49 +97,48 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _agreement(item: Column, doc: Column) -> Column:
-    """Tokens of the item that agree with the document at the alignment.
+    """Places of the item's tokens that agree with the document at the alignment.
 
     Equal words agree. Slots agree if of the same type and if, among the item's slots here, each value is always
     renamed to the same one and no two are renamed to the same; else only slots with equal values do.
     """
-    slot = lambda x: x["t"].isin(NUM, NAME, UNIT)
 
-    def counted(both: Column) -> Column:
-        slots = F.array_distinct(F.transform(F.filter(both, lambda x: x["same"] & slot(x)), lambda x: F.struct(x["t"], x["a"], x["b"])))
+    def agreeing(both: Column) -> Column:
+        slots = F.array_distinct(F.transform(F.filter(both, lambda x: x["same"] & _slot(x)), lambda x: F.struct(x["t"], x["a"], x["b"])))
         one_to_one = lambda s: (F.size(F.array_distinct(F.transform(s, lambda x: F.struct(x["t"], x["a"])))) == F.size(s)) & (F.size(F.array_distinct(F.transform(s, lambda x: F.struct(x["t"], x["b"])))) == F.size(s))
-        plain = F.filter(both, lambda x: x["same"] & (~slot(x) | x["a"].eqNullSafe(x["b"])))
-        return F.when(_let(slots, one_to_one), F.size(F.filter(both, lambda x: x["same"]))).otherwise(F.size(plain))
+        places = lambda ok: F.filter(F.transform(both, lambda x, i: F.when(ok(x), i)), lambda i: i.isNotNull())
+        return F.when(_let(slots, one_to_one), places(lambda x: x["same"])).otherwise(places(lambda x: x["same"] & (~_slot(x) | x["a"].eqNullSafe(x["b"]))))
+
+    return _let(F.zip_with(item, doc, lambda a, b: F.struct(a["t"].alias("t"), a["v"].alias("a"), b["v"].alias("b"), a["t"].eqNullSafe(b["t"]).alias("same"))), agreeing)
+
 
-    return _let(F.zip_with(item, doc, lambda a, b: F.struct(a["t"].alias("t"), a["v"].alias("a"), b["v"].alias("b"), a["t"].eqNullSafe(b["t"]).alias("same"))), counted)
+def _has_run(places: Column) -> Column:
+    return F.exists(places, lambda p: F.array_contains(places, p + (RUN - 1)) & (F.size(F.filter(places, lambda q: (q >= p) & (q < p + RUN))) == RUN))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, share): each document with each benchmark item that it holds, by the best alignment's share of agreeing tokens.
+    """(doc_id, item_id, share): each document with each benchmark item that it holds, by the share of its tokens that agree at any alignment.
 
-    Null and empty texts and items of fewer than LEAST_TOKENS tokens meet nothing. Items shorter than a window are one
-    window of their own length. Repeated rows give their pairs once. Rows with a null id are left out; empty tables
+    A pair counts from SHARE on, or with RUN agreeing tokens in a row. Null and empty texts and items of fewer than
+    LEAST_TOKENS tokens meet nothing. Repeated rows give their pairs once. Rows with a null id are left out; empty tables
     give an empty result. Only ids and texts are read, so other columns cannot clash. Items may be many: their windows
     are broadcast only below a counted bound.
     """
     items = stored(benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), tokens(F.col(item_text_col)).alias("tok")).where(F.size("tok") >= LEAST_TOKENS).distinct(), "items")
-    short = [r[0] for r in items.where(F.size("tok") < WINDOW).select(F.size("tok")).distinct().collect()]  # at most WINDOW lengths
-    own = lambda size: items.where(F.size("tok") >= WINDOW if size == WINDOW else F.size("tok") == size).select("item_id", F.explode(_windows(size, 1)).alias("w"))
     d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = None
-    for size in [WINDOW, *short]:
-        met = stored(own(size).select("item_id", F.col("w.pos").alias("item_pos"), "w.h").distinct(), "item-windows")
-        theirs = d.select("doc_id", tokens(F.col("text")).alias("tok")).select("doc_id", F.explode(_windows(size, STRIDE if size == WINDOW else 1)).alias("w")).select("doc_id", F.col("w.pos").alias("doc_pos"), "w.h")
-        pairs = theirs.join(_small(met), "h").select("doc_id", "item_id", (F.col("doc_pos") - F.col("item_pos")).alias("shift")).distinct()
-        found = pairs if found is None else found.unionByName(pairs)
-    found = stored(found.distinct(), "meetings")
+    own = stored(items.select("item_id", F.explode(_windows()).alias("w")).select("item_id", F.col("w.pos").alias("item_pos"), "w.h").distinct(), "item-windows")
+    theirs = d.select("doc_id", tokens(F.col("text")).alias("tok")).select("doc_id", F.explode(_windows()).alias("w")).select("doc_id", F.col("w.pos").alias("doc_pos"), "w.h")
+    found = stored(theirs.join(_small(own), "h").select("doc_id", "item_id", (F.col("doc_pos") - F.col("item_pos")).alias("shift")).distinct(), "meetings")
     # Only documents that were met are read again, and tokenised once each.
     met = d.join(_small(found.select("doc_id").distinct()), "doc_id", "left_semi").distinct().select("doc_id", tokens(F.col("text")).alias("tok"))
     x = found.join(met, "doc_id").join(_small(items.withColumnRenamed("tok", "item")), "item_id")
     n = F.size("item")
     lead = F.greatest(-F.col("shift"), F.lit(0))  # tokens of the item that would stand before the document
     at = F.slice("tok", F.greatest(F.col("shift"), F.lit(0)) + 1, n - lead)
-    x = x.withColumn("agree", _agreement(F.slice("item", lead + 1, F.size(at)), at)).where(F.col("agree") >= SHARE * n)
-    return x.groupBy("doc_id", "item_id").agg(F.max(F.col("agree") / n).alias("share"))
+    x = x.select("doc_id", "item_id", n.alias("n"), F.transform(_agreement(F.slice("item", lead + 1, F.size(at)), at), lambda i: i + lead).alias("places"))
+    x = x.groupBy("doc_id", "item_id").agg(F.max("n").alias("n"), F.flatten(F.collect_set("places")).alias("all"), F.max(_has_run(F.col("places"))).alias("run"))
+    x = x.withColumn("share", F.size(F.array_distinct("all")) / F.col("n"))
+    return x.where((F.col("share") >= SHARE) | F.col("run")).select("doc_id", "item_id", "share")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:

@@ -34,3 +34,27 @@ def test_empty(spark):
     assert D.leaks(none, bench).count() == 0
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     assert D.leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_every_place_and_every_template(spark):
+    item8 = "which river flows past the old stone mill"
+    item15 = "every morning the baker carries fresh loaves across the narrow wooden bridge before sunrise begins"
+    title = "The Great Northern Railway Of Canada"
+    sums = "12 km + 30 km is 42 km"
+    parts = "first mix flour with warm water then let it rest overnight before you bake it slowly at low heat"
+    run = "red green blue yellow orange purple brown black white grey pink gold silver " + " ".join(f"w{chr(97 + i)}x" for i in range(20))
+    bench = spark.createDataFrame([(1, item8), (2, item15), (3, title), (4, sums), (5, parts), (6, run)], "item_id long, text string")
+    rows = [(i, "so " * i + item8) for i in range(8)]
+    rows += [(20, "well " + item15.replace("across", "over"))]
+    rows += [(30, "We saw it. " + title + " was there"), (40, "so: " + sums)]
+    rows += [(50, "now " + parts.replace("then let", "then please do let").replace("you bake", "you carefully must bake")), (60, "zz " + " ".join(run.split()[:13]) + " and nothing more of it")]
+    rows += [(70, "the morning was fresh and the bridge was old")]
+    got = {(r.doc_id, r.item_id): r.share for r in D.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert set(got) == {(i, 1) for i in range(8)} | {(20, 2), (30, 3), (40, 4), (50, 5), (60, 6)}
+    assert got[20, 2] == 14 / 15 and got[50, 5] == 1 and got[60, 6] < 0.5
+
+
+def test_short_items_of_many_slots(spark):
+    bench = spark.createDataFrame([(1, "add 3 then 4 minus 5 gives")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so add 6 then 8 minus 9 gives it")], "doc_id long, text string")
+    assert [(r.doc_id, r.share) for r in D.leaks(docs, bench).collect()] == [(1, 1.0)]
