@@ -3,7 +3,7 @@
 Quote marks give each line its level. Runs of lines of one level are passages; a passage and each of its sentences
 are normalised to lower-case words and hashed. Unquoted text gives the same hashes, so one join on (conversation, hash)
 finds the latest earlier message that said it; what its own conversation does not have is looked up among all
-messages, where a hash counts only if a single message has it. Parents are then followed by pointer doubling to give
+messages, where the first that said it counts and later copies are taken for the same text. Parents are then followed by pointer doubling to give
 each message its place in reply order.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm._shared import stored
 
-#: Words that a quoted passage or sentence needs to say where it is from.
+#: Words that a quoted passage or sentence needs to say which other conversation it is from; within its own any will do.
 LEAST_WORDS = 4
 MARK = r"^[ \t]*(?:>[ \t]?)+"
 #: Verbs of the line that introduces a quotation, in the languages of the tables.
@@ -32,9 +32,9 @@ def _norm(text: Column) -> Column:
 
 
 def _hashes(texts: Column) -> Column:
-    """Array of (hash, length) of the texts with enough words, each once."""
-    kept = F.filter(F.array_distinct(F.transform(texts, _norm)), lambda t: F.size(F.split(t, " ")) >= LEAST_WORDS)
-    return F.transform(kept, lambda t: F.struct(F.xxhash64(t).alias("h"), F.length(t).alias("n")))
+    """Array of (hash, length, has enough words to be looked up elsewhere) of the texts with any words, each once."""
+    kept = F.filter(F.array_distinct(F.transform(texts, _norm)), lambda t: t != "")
+    return F.transform(kept, lambda t: F.struct(F.xxhash64(t).alias("h"), F.length(t).alias("n"), (F.size(F.split(t, " ")) >= LEAST_WORDS).alias("enough")))
 
 
 def parsed(messages: DataFrame) -> DataFrame:
@@ -48,30 +48,32 @@ def parsed(messages: DataFrame) -> DataFrame:
 
 
 def _passages(m: DataFrame) -> DataFrame:
-    """(conv_id, turn, level, h, n): hashes of each passage and of its sentences."""
+    """(conv_id, turn, level, h, n, enough): hashes of each passage and of its sentences."""
     x = m.where(F.size("quotes") > 0).select("conv_id", "turn", F.xxhash64("text").alias("_t"), F.explode("quotes").alias("q")).distinct().select("conv_id", "turn", "_t", "q.*")
     by = W.partitionBy("conv_id", "turn", "_t").orderBy("pos")
     first = (F.lag("pos").over(by).isNull()) | (F.lag("pos").over(by) != F.col("pos") - 1) | (F.lag("level").over(by) != F.col("level")) | (F.trim("content") == "")
     x = x.withColumn("_first", first.cast("int")).withColumn("run", F.sum("_first").over(by))
     x = x.groupBy("conv_id", "turn", "_t", "run").agg(F.min("level").alias("level"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda s: s["content"]), " ").alias("passage"))
-    return x.select("conv_id", "turn", "level", F.explode(_hashes(F.concat(F.array("passage"), F.split("passage", SENTENCE)))).alias("k")).select("conv_id", "turn", "level", "k.*").groupBy("conv_id", "turn", "h").agg(F.min("level").alias("level"), F.max("n").alias("n"))
+    return x.select("conv_id", "turn", "level", F.explode(_hashes(F.concat(F.array("passage"), F.split("passage", SENTENCE)))).alias("k")).select("conv_id", "turn", "level", "k.*").groupBy("conv_id", "turn", "h").agg(F.min("level").alias("level"), F.max("n").alias("n"), F.bool_or("enough").alias("enough"))
 
 
 def links(m: DataFrame) -> DataFrame:
     """(conv_id, turn, reply_conv, reply_turn, n_linked): the message that each quoting message answers.
 
     Of several, the one quoted at the lowest level, with most characters, and the latest. It comes earlier: by turn in
-    the same conversation, by a smaller conv_id in another.
+    the same conversation, by a smaller conv_id in another. A text that several conversations have is from the first.
     """
     q = stored(_passages(m), "quoted")
     texts = F.concat(F.array("own"), F.split("own", r"\n\s*\n"), F.split("own", r"\n"), F.split("own", SENTENCE))
-    said = m.select("conv_id", "turn", F.explode(_hashes(texts)).alias("k")).select("conv_id", "turn", "k.h").join(q.select("h").distinct(), "h", "left_semi").distinct()
+    said = m.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode(_hashes(texts)).alias("k")).select("conv_id", "turn", "k.h", "k.enough")
+    here = said.join(q.select("conv_id", "h").distinct(), ["conv_id", "h"], "left_semi").select("conv_id", "turn", "h").distinct()
     # The latest earlier message with the hash in the same conversation: an as-of join over one sorted pass.
-    both = q.select("conv_id", "turn", "h", "level", "n", F.lit(0).alias("is_said")).unionByName(said.select("conv_id", "turn", "h", F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("n"), F.lit(1).alias("is_said")))
+    both = q.withColumn("is_said", F.lit(0)).unionByName(here.withColumn("is_said", F.lit(1)), allowMissingColumns=True)
     before = W.partitionBy("conv_id", "h").orderBy("turn", "is_said").rowsBetween(W.unboundedPreceding, W.currentRow)
     near = both.withColumn("reply_turn", F.last(F.when(F.col("is_said") == 1, F.col("turn")), True).over(before)).where("is_said = 0")
-    alone = said.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("a"), F.max(F.struct("conv_id", "turn")).alias("b")).where("a = b").select("h", F.col("a.conv_id").alias("o_conv"), F.col("a.turn").alias("o_turn"))
-    far = near.where("reply_turn IS NULL").join(alone, "h").where("o_conv < conv_id").select("conv_id", "turn", "level", "n", F.col("o_conv").alias("reply_conv"), F.col("o_turn").alias("reply_turn"))
+    # Summed before it is shuffled, so that a text of many copies is no large group.
+    first = said.where("enough").groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("o")).select("h", F.col("o.conv_id").alias("o_conv"), F.col("o.turn").alias("o_turn"))
+    far = near.where("reply_turn IS NULL AND enough").join(first, "h").where("o_conv < conv_id").select("conv_id", "turn", "level", "n", F.col("o_conv").alias("reply_conv"), F.col("o_turn").alias("reply_turn"))
     found = near.where("reply_turn IS NOT NULL").select("conv_id", "turn", "level", "n", F.col("conv_id").alias("reply_conv"), "reply_turn").unionByName(far)
     per = found.groupBy("conv_id", "turn", "reply_conv", "reply_turn").agg(F.min("level").alias("level"), F.sum("n").alias("n"), F.count("*").alias("k"))
     best = F.max(F.struct((-F.col("level")).alias("l"), "n", (F.col("reply_conv") == F.col("conv_id")).alias("same"), "reply_conv", "reply_turn")).alias("b")

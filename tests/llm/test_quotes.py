@@ -27,3 +27,12 @@ def test_links_levels_and_order(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert quotes.link(df).count() == 0
+
+
+def test_copies_and_short_quotes(spark):
+    said = "The old bridge was closed for repairs in May."
+    rows = [(1, 0, "user", said), (3, 0, "user", "> " + said + "\nIs it open again?"), (4, 0, "user", said), (5, 0, "user", said), (6, 0, "user", "> " + said + "\nNot yet."), (None, 0, "user", said)]
+    rows += [(7, 0, "user", "Yes, Tuesday works."), (7, 1, "assistant", "Or Monday?"), (7, 2, "user", "> Yes, Tuesday works.\nThen Tuesday."), (8, 0, "user", "> Yes, Tuesday works.\nWhich one?")]
+    got = quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == len(rows)
+    assert {(r.conv_id, r.turn): (r.reply_conv, r.reply_turn) for r in got if r.reply_turn is not None} == {(3, 0): (1, 0), (6, 0): (1, 0), (7, 2): (7, 0)}
