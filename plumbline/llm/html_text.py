@@ -35,8 +35,9 @@ MARKS = frozenset(
     "cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget toolbar skip pager pagination".split()
 )
 HEADER_MARKS = frozenset("header masthead topbar".split())
-#: A path is content from this share of the best score on; the article holds this share of the content's text.
+#: A path is content from this share of the best score on; the article's core holds this share of the content's text.
 CONTENT_SHARE, ARTICLE_SHARE = 0.2, 0.6
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: In an element that names itself no article, a path with more than this share of text in links is a list of links.
 LINK_SHARE = 0.6
 
@@ -184,7 +185,7 @@ class _Page:
         smooth = [(raw[max(i - 1, 0)] + 6 * r + raw[min(i + 1, len(raw) - 1)]) / 8 for i, r in enumerate(raw)]
         best = max(smooth)
         content = {p for p, x in zip(paths, smooth, strict=True) if x >= CONTENT_SHARE * best}
-        # The article: the deepest element that holds nearly all text on content paths.
+        # The article's core: the deepest element that holds most text on content paths.
         within, total = [0] * n, 0
         for e, t, _ in left:
             if self.path[e] in content:
@@ -197,24 +198,35 @@ class _Page:
             if self.parent[e] == article and within[e] >= ARTICLE_SHARE * total and self.tag[e] not in ("p", "h1", "h2", "h3", "li", "blockquote", "pre", "td"):
                 article = e
         named = inside[article]
+        region = 0  # where the rest of the article may be: its main element, or the page if nothing is named
         if named:  # up to the whole article or main element
             e = article
             while e > 0 and inside[self.parent[e]]:
                 e = self.parent[e]
                 if self.tag[e] == "article":
                     break
-            article = e
-        out = []
+            article = region = e
+            while inside[self.parent[region]]:
+                region = self.parent[region]
+        # Of the core all but lists of links; around it what is on content paths, and the headings between.
+        out: list[str] = []
+        headings: list[str] = []
         for e, t, _ in left:
+            above = {e}
             x = e
-            while x > 0 and x != article:
+            while x > 0:
                 x = self.parent[x]
-            if x != article:
-                continue
+                above.add(x)
             s = sums[self.path[e]]
-            if not named and self.path[e] not in content and s[3] > LINK_SHARE * (s[1] + s[3]):
-                continue
-            out.append(t)
+            if article in above:
+                keep = named or self.path[e] in content or s[3] <= LINK_SHARE * (s[1] + s[3])
+            else:
+                keep = region in above and self.path[e] in content
+            if keep:
+                out += [*headings, t] if out else [t]
+                headings = []
+            elif region in above and article not in above and any(self.tag[x] in HEADINGS for x in above):
+                headings.append(t)
         return " ".join(out)
 
 

@@ -45,3 +45,13 @@ def test_nulls(spark):
     df = spark.createDataFrame([(1, None, None), (None, "u", "<p>x</p>")], "page_id long, url string, html string")
     assert sorted(((r.page_id or 0, r.text) for r in H.extract(df).collect())) == [(0, "x"), (1, "")]
     assert H.extract(df.limit(0)).count() == 0
+
+
+def test_an_article_in_several_elements_is_whole():
+    one, two = "The river rose again this morning, and the lower town was told to leave, quickly. " * 4, "Engineers said, however, that the dam would hold, as it did in earlier years. " * 2
+    page = f"<html><body><div class='section'><p>{one}</p><p>{one}</p></div><div class='ad'><p>Buy one, get one.</p></div><div class='section'><h2>The dam</h2><p>{two}</p><p>{two}</p></div><div class='x'><span>Terms</span></div></body></html>"
+    got = H.main_text(page)
+    assert got.count("The river rose") == 8 and got.count("Engineers said") == 4 and "The dam" in got and "Buy one" not in got and "Terms" not in got
+    page = f"<html><body><div><p>Outside, it says, nothing. {one}</p></div><main><article><p>{one}</p><p>{one}</p><p>{one}</p><p>{one}</p></article><article><h2>The dam</h2><p>{two}</p><p>{two}</p></article></main></body></html>"
+    got = H.main_text(page)
+    assert got.count("The river rose") == 16 and got.count("Engineers said") == 4 and "The dam" in got and "Outside" not in got
