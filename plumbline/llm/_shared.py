@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,17 +35,38 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
-def chunks(texts: list[str | None], most: int = 3_000_000):
-    """Ranges (from, to) of consecutive texts of about `most` characters, so that work on a batch stays within memory; one long text is a range of its own."""
-    start, held = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
-        if held and held + n > most:
-            yield start, i
-            start, held = i, 0
-        held += n
-    if start < len(texts):
-        yield start, len(texts)
+def slices(texts: pa.Array, most: int = 1_000_000):
+    """(from, to, texts) for ranges of consecutive texts of about `most` bytes, each decoded when its turn comes, so that work on a batch stays within memory; one long text is a range of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        held = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, held + most, "right")))
+        yield start, stop, texts.slice(start, stop - start).to_pylist()
+        start = stop
+
+
+#: Bytes, by Spark's estimate of the stored table, up to which it may be sent to all tasks.
+BROADCAST_BYTES = 16 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, a stored table or a cheap reading of one, marked for broadcast if its rows, each taken at the width of its first rows, are few bytes; else it is joined by shuffle."""
+    fixed = {"bigint": 8, "int": 4, "double": 8, "boolean": 1}
+    if all(f.dataType.simpleString() in fixed for f in df.schema):
+        most = BROADCAST_BYTES // (16 + sum(fixed[f.dataType.simpleString()] for f in df.schema))
+        return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    width = F.sum(F.length(F.to_json(F.struct(*df.columns))).cast("long"))
+    held = df.limit(BROADCAST_BYTES // 64 + 1).agg(F.count("*"), width).first()
+    return F.broadcast(df) if held[0] <= BROADCAST_BYTES // 64 and (held[1] or 0) <= BROADCAST_BYTES else df
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case of its letters."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
 
 
 def rows_out(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:

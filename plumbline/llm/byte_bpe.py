@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._shared import chunks, rows_out
+from plumbline.llm._shared import rows_out, slices
 
 #: Pre-tokens whose ids a task remembers, and the longest that it remembers; when full, it stays as it is.
 REMEMBERED, LONGEST_REMEMBERED = 400_000, 64

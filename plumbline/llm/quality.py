@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._shared import chunks, rows_out
+from plumbline.llm._shared import rows_out, slices
 
 #: Words that a repeat needs, to be one.
 LEAST = 5
