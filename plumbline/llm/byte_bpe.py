@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm._shared import rows_out, slices
 
-#: Pre-tokens whose ids a task remembers, and the longest that it remembers; when full, it stays as it is.
-REMEMBERED, LONGEST_REMEMBERED = 400_000, 64
+#: Pre-tokens whose ids a task remembers, and the most characters of one that it remembers, so some 40 MB at most; when full, it stays as it is.
+REMEMBERED, LONGEST_REMEMBERED = 200_000, 32
 MASK = (1 << 64) - 1
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -137,7 +137,7 @@ class Codec:
         known, piece = self.known, self.of_piece
         own = {p: known[p] if p in known else piece(p) for p in set(chain.from_iterable(cut))}
         if len(known) < REMEMBERED:
-            known.update(islice(((p, v) for p, v in own.items() if len(p) <= LONGEST_REMEMBERED), REMEMBERED))
+            known.update(islice(((p, v) for p, v in own.items() if len(p) <= LONGEST_REMEMBERED and p not in known), REMEMBERED - len(known)))
         return [b"".join(map(own.__getitem__, pieces)) for pieces in cut]
 
     def decode(self, ids: bytes) -> bytes:
@@ -152,11 +152,10 @@ def codec(path: str, pattern: str) -> Codec:
 def _coded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, digest: bool) -> Iterator[pa.RecordBatch]:
     c = codec(path, pattern)
     for batch in batches:
-        doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for a, b in chunks(texts):
-            ids = c.encode([t or "" for t in texts[a:b]])
+        for a, b, texts in slices(batch.column(1)):
+            ids = c.encode([t or "" for t in texts])
             back = [c.decode(x) for x in ids]
-            out = {"doc_id": doc_ids[a:b], "n_tokens": [len(x) // 4 for x in ids]}
+            out = {"doc_id": batch.column(0).slice(a, b - a), "n_tokens": [len(x) // 4 for x in ids]}
             if digest:
                 sha = lambda x: hashlib.sha256(x).hexdigest()
                 yield rows_out(out | {"ids_sha256": list(map(sha, ids)), "decoded_sha256": list(map(sha, back))}, DIGEST)
@@ -169,7 +168,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
 
     path, pattern: vocabulary file, which every executor must have, and cutting pattern. Null texts are empty; an
     empty text has no ids. Strings of special tokens are ordinary text. Repeated rows are coded each. No shuffle:
-    a task holds the vocabulary, a bounded memory of pre-tokens and about 3 million characters of texts, or one
+    a task holds the vocabulary, a bounded memory of pre-tokens and about a million bytes of texts, or one
     longer text. Only the id and the text are read, so other columns cannot clash.
     """
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids binary, decoded binary")

@@ -8,10 +8,12 @@ texts of a batch are sorted together, in numpy, with the text's number as first
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,13 +21,16 @@ from plumbline.llm._shared import rows_out, slices
 
 #: Words that a repeat needs, to be one.
 LEAST = 5
-#: A text fails if repeats of at least LONG words cover more than this share of its words.
-LONG, MOST_COVERED = 10, 0.2
+#: A text fails if repeats of at least LONG words cover more than this share of its words. Below the base rule's 20 % for
+#: repeats of five words, so that it decides where long passages stand twice among words that do not repeat.
+LONG, MOST_COVERED = 10, 0.15
 #: A text fails if its longest repeat has at least this many words and this share of the text.
 LONGEST_WORDS, LONGEST_SHARE = 50, 0.1
 #: Limits on the share of symbols in the words' characters, and of repeated lines in the lines.
 MOST_SYMBOLS, MOST_DUP_LINES = 0.06, 0.5
 SYMBOLS, BLANKS = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
+#: Bytes of a text that are cut into words at once.
+PIECE, BLANK = 1 << 20, re.compile(rb"[\x20\x09-\x0D]")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = pa.schema([("doc_id", pa.int64())] + [(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_covered", "longest_repeat")] + [("base_failed", pa.bool_()), ("kept", pa.bool_())])
 
@@ -58,10 +63,11 @@ def _suffix_array(words: np.ndarray, doc: np.ndarray, least: int) -> tuple[np.nd
     for key in keys:
         fresh[1:] |= key[order[1:]] != key[order[:-1]]
     start = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-    rank = np.full(n + 1, -1, np.int64)
+    rank = np.full(n + 1, -1, np.int32)
     rank[order] = start
     alone = fresh & np.append(fresh[1:], True)
-    at = order[~alone]
+    at = order[~alone].astype(np.int32)
+    del keys, order, start, fresh, alone, key, ahead
     if not len(at):
         return at, at
     levels, k = [(least, rank)], least
@@ -72,8 +78,8 @@ def _suffix_array(words: np.ndarray, doc: np.ndarray, least: int) -> tuple[np.nd
         at, own, ahead = at[o], own[o], ahead[o]
         group = np.append(True, own[1:] != own[:-1])
         fresh = group | np.append(True, ahead[1:] != ahead[:-1])
-        place = np.arange(len(at))
-        rank = rank.copy()
+        place = np.arange(len(at), dtype=np.int32)
+        rank = rank.copy()  # four bytes a word for each level that a repeat reaches
         rank[at] = own + place[fresh][np.cumsum(fresh) - 1] - place[group][np.cumsum(group) - 1]
         if fresh.all():
             break
@@ -116,17 +122,31 @@ def repeats(words: np.ndarray, doc: np.ndarray, least: int = LEAST) -> tuple[np.
     return where[start], length
 
 
+def _hashed(text: bytes) -> np.ndarray:
+    """Hashes of the words; of a very long text a piece at a time, so that its words never stand in memory together."""
+    out, start = [np.empty(0, np.uint64)], 0
+    while start < len(text):
+        stop = start + PIECE
+        end = BLANK.search(text, stop)
+        stop = end.start() if end else len(text)
+        words = text[start:stop].split()
+        out.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+        start = stop
+    return np.concatenate(out)
+
+
 def measures(texts: list[str | None]) -> dict[str, np.ndarray]:
     """For each text the counts of SCHEMA without doc_id."""
     m = len(texts)
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    split = [b.split() for b in raw]
-    n_words = np.fromiter(map(len, split), np.int64, m)
+    hashed = [_hashed(b) for b in raw]
+    n_words = np.fromiter(map(len, hashed), np.int64, m)
     lines = [[x for x in b.split(b"\n") if x.strip(BLANKS)] for b in raw]
     n_lines = np.fromiter(map(len, lines), np.int64, m)
     bare = [b.translate(None, BLANKS) for b in raw]
     n = int(n_words.sum())
-    words = np.fromiter((hash(w) for s in split for w in s), np.int64, n).view(np.uint64)
+    words = np.concatenate(hashed) if n else np.empty(0, np.uint64)
+    del hashed
     doc = np.repeat(np.arange(m), n_words)
     at, length = repeats(words, doc)
     per_doc = lambda mask: np.bincount(doc[mask], minlength=m) if n else np.zeros(m, np.int64)
@@ -160,17 +180,15 @@ def verdicts(m: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for a, b in chunks(texts):
-            m = measures(texts[a:b])
-            yield rows_out({"doc_id": ids[a:b], **m, **verdicts(m)}, SCHEMA)
+        for a, b, texts in slices(batch.column(1)):
+            m = measures(texts)
+            yield rows_out({"doc_id": batch.column(0).slice(a, b - a), **m, **verdicts(m)}, SCHEMA)
 
 
 def _passed(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(text_at).to_pylist()
-        for a, b in chunks(texts):
-            yield batch.slice(a, b - a).filter(pa.array(verdicts(measures(texts[a:b]))["kept"]))
+        for a, b, texts in slices(batch.column(text_at)):
+            yield batch.slice(a, b - a).filter(pa.array(verdicts(measures(texts))["kept"]))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,13 +196,17 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     Null, empty and blank texts have no words and fail (fewer than 10 words). Repeated rows are judged each. Only the
     id and the text are read, so other columns cannot clash. An empty table gives an empty result. Very long texts
-    are sorted whole, one at a time.
+    are sorted whole, one at a time, in some hundred bytes a word.
     """
     schema = ", ".join(f"{f.name} {'boolean' if f.name in ('base_failed', 'kept') else 'long'}" for f in SCHEMA)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_measured, schema)
 
 
 def passed(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents that judge() keeps, with all their columns, in one pass."""
+    """The documents that judge() keeps, with all their columns, whatever their names, in one pass.
+
+    Documents with a null, empty or blank text go, as they have fewer than 10 words; a null id changes nothing.
+    Repeated rows stay or go together. An empty table stays empty. Very long texts are judged whole.
+    """
     at = docs.columns.index(text_col)
     return docs.mapInArrow(lambda it: _passed(it, at), docs.schema)
