@@ -1,21 +1,21 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction for identifiers that those miss.
 
-What the fixed patterns find are seeds. Each token with a digit is an instance; the two words before it, and its shape with
-the word before or after it, are its lexical patterns. Scores go back and forth over the graph of patterns and
-instances: a pattern is as good as the share of its instances that are known, an instance as good as its patterns
-together. Patterns that end with a high score and several different seeds extract further instances of their kind.
+What the fixed patterns find are seeds, and so is the value after a word that names a secret. Words are instances; groups
+of digits with spaces between are one. The two words before an instance, the last one alone if it is a label, and its
+shape with the word before or after it are its lexical patterns. Patterns of enough different seeds are candidates; only
+words that have one of them enter the graph. Scores go back and forth over it: a pattern is as good as the share of its
+instances that are known, an instance as good as its patterns together. Patterns that end with a high score extract
+further instances of their kind, and these are the next round's seeds, until a round finds nothing new.
 DataFrame functions only; a text is matched where it is read, and only what was matched is shuffled.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm._shared import stored
+from plumbline.llm._shared import small, stored, unused
 
 #: The kinds in their order, with patterns that match what the plain ones do. `\\G` or a look-behind lets a
 #: run of characters be tried once instead of from each of its places; possessive marks do not change what matches.
@@ -25,23 +25,21 @@ KINDS = {
     "card": (r"[0-9](?:[\x20-]?[0-9])++", None),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
 }
-TOKEN = r"(?:\G|(?<![^\x20\x09-\x0D]))[^0-9\x20\x09-\x0D]*+[0-9][^\x20\x09-\x0D]*+"
-#: Rounds of scoring; the score and the number of different seeds that a pattern needs to extract; the score that an instance needs.
-ROUNDS, LEAST_SCORE, LEAST_SEEDS, LEAST_INSTANCE = 3, 0.8, 5, 0.8
-#: Keys (16 bytes each) up to which a table of them is sent to all tasks.
-BROADCAST_ROWS = 500_000
-#: Characters kept on each side of a token as context.
-CONTEXT = 48
-
-
-def _found(docs: DataFrame, name: str, pattern: str, holds: str | None) -> DataFrame:
-    """(doc_id, _t, kind, pos, before, value, left, right): matches in order, with the length and the ends of what stands between."""
-    text = F.col("text")
-    d = docs.where((text.contains(holds) if holds else F.lit(True)) & text.rlike("[0-9]" if name != "email" else "@"))
-    pieces, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    d = d.select("doc_id", "_t", pieces.alias("_p"), values.alias("_v")).where(F.size("_v") > 0)
-    zipped = F.transform("_v", lambda v, i: F.struct(F.length(F.col("_p")[i]).alias("before"), v.alias("value"), F.substring(F.col("_p")[i], -CONTEXT, CONTEXT).alias("left"), F.substring(F.col("_p")[i + 1], 1, CONTEXT).alias("right")))
-    return d.select("doc_id", "_t", F.lit(name).alias("kind"), F.posexplode(zipped).alias("pos", "m")).select("doc_id", "_t", "kind", "pos", "m.*")
+#: The kind that only the method finds, after the kinds of the fixed patterns.
+SECRET = "secret"
+#: Words that name a secret, and what one looks like.
+NAMES_SECRET = r"(?:^|[^a-z])(?:token|secret|password|passwd|passphrase|credential|api[_-]?key|access[_-]?key|private[_-]?key)[\"'`]? ?[=:]+$"
+SECRET_VALUE = r"^(?=[^ ]*[0-9])[A-Za-z0-9_+/=.~-]{12,}$"
+#: What every text with a match of the fixed patterns holds, and what every text with a secret after its name does; both are quick to look for.
+MAY_MATCH = r"@|[0-9]\.[0-9]+\.[0-9]|\+[0-9]|[0-9](?:[\x20-]?[0-9]){15}"
+MAY_NAME_SECRET = r"(?i)token|secret|passw|passp|credential|api.?key|access.?key|private.?key"
+#: Scoring rounds over a graph, and how often new instances may bring new patterns; each of these reads the texts again.
+ROUNDS, EXPANSIONS = 3, 3
+#: The score and the number of different known instances that a pattern needs to extract; the score that an instance needs.
+LEAST_SCORE, LEAST_SEEDS, LEAST_INSTANCE = 0.8, 4, 0.8
+#: Stands for a space between groups of digits, so that they are one word; one character, so places stay.
+GLUE = "\ue000"
+SPACE = r"\x20\x09-\x0D"
 
 
 def _luhn(digits: Column) -> Column:
@@ -61,70 +59,162 @@ def _valid(kind: Column, value: Column) -> Column:
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """All matches of the kinds and all tokens with a digit, each with start and end in code points."""
-    every = [_found(docs, k, p, h) for k, (p, h) in KINDS.items()] + [_found(docs, "token", TOKEN, None)]
-    x = reduce(DataFrame.unionByName, every).repartition("doc_id", "_t")
-    x = x.groupBy("doc_id", "_t", "kind", "pos").agg(*[F.first(c).alias(c) for c in ("before", "value", "left", "right")])  # repeated rows once
+    """(doc_id, _t, kind, start, end): valid matches of the fixed patterns, in code points, from one reading of the texts."""
+    text = F.col("text")
+
+    def matches(name: str, pattern: str, holds: str | None) -> Column:
+        """Array of (kind, place, length of what stands between the match before and this one, value)."""
+        some = (text.contains(holds) if holds else F.lit(True)) & text.rlike("[0-9]" if name != "email" else "@")
+        zipped = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda v, p: F.struct(v.alias("value"), F.length(p).alias("before")))
+        found = F.filter(F.transform(zipped, lambda z, i: F.struct(F.lit(name).alias("kind"), i.alias("pos"), z["before"].alias("before"), z["value"].alias("value"))), lambda z: z["value"].isNotNull())
+        return F.when(some, found).otherwise(F.array().cast("array<struct<kind:string,pos:int,before:int,value:string>>"))
+
+    x = docs.where(text.rlike(MAY_MATCH)).select("doc_id", "_t", F.explode(F.concat(*[matches(k, p, h) for k, (p, h) in KINDS.items()])).alias("m")).select("doc_id", "_t", "m.*")
+    x = x.groupBy("doc_id", "_t", "kind", "pos").agg(F.first("before").alias("before"), F.first("value").alias("value"))  # repeated rows once
     by = W.partitionBy("doc_id", "_t", "kind").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
     x = x.withColumn("end", F.sum(F.col("before") + F.length("value")).over(by)).withColumn("start", F.col("end") - F.length("value"))
-    return x.where(_valid(F.col("kind"), F.col("value"))).select("doc_id", "_t", "kind", "start", "end", "value", "left", "right")
-
-
-def _shape(value: Column) -> Column:
-    """Letters as a and A, digits as 9, runs of each written once with their length."""
-    s = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, r"\p{Ll}+", "a"), r"\p{Lu}+", "A"), r"[0-9]", "9")
-    return F.concat_ws("/", s, F.length(value))
-
-
-def _instances(spans: DataFrame) -> DataFrame:
-    """Tokens with a digit, bare of the punctuation around them, and the kind of the seed that they overlap (null: none)."""
-    t = spans.where("kind = 'token'")
-    lead = F.length(F.regexp_extract("value", r"^[^\p{L}\p{N}+]*", 0))
-    t = t.withColumn("_lead", lead).withColumn("bare", F.regexp_replace(F.substring(F.col("value"), F.col("_lead") + 1, F.length("value")), r"[^\p{L}\p{N}]+$", ""))
-    t = t.select("doc_id", "_t", (F.col("start") + F.col("_lead")).alias("start"), (F.col("start") + F.col("_lead") + F.length("bare")).alias("end"), "bare", F.lower("left").alias("l"), F.lower("right").alias("r")).where("bare <> ''")
-    # The seed that a token overlaps, by one pass over the spans of a text in order: the last seed to begin before the token ends.
-    seeds = spans.where("kind <> 'token'").select("doc_id", "_t", "start", "end", "kind")
-    both = t.select("*", F.lit(None).cast("string").alias("kind")).unionByName(seeds, allowMissingColumns=True)
-    at = F.when(F.col("kind").isNull(), F.col("end") - 1).otherwise(F.col("start"))
-    so_far = W.partitionBy("doc_id", "_t").orderBy("_at", F.col("kind").isNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    seed = F.when(F.col("kind").isNotNull(), F.struct("end", "start", "kind"))
-    both = both.withColumn("_at", at).withColumn("_seed", F.max(seed).over(so_far))
-    return both.where("kind IS NULL").withColumn("seed", F.when(F.col("_seed.end") > F.col("start"), F.col("_seed.kind"))).select("doc_id", "_t", "start", "end", "bare", "l", "r", "seed")
-
-
-def _patterns() -> Column:
-    shape = _shape(F.col("bare"))
-    words = lambda c: F.filter(F.split(F.col(c), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    left, right = words("l"), words("r")
-    both = lambda kind, w: F.concat_ws(" ", F.lit(kind), w, shape)
-    return F.array_compact(
-        F.array(
-            F.when(F.size(left) >= 1, both("L1", F.element_at(left, -1))),
-            F.when(F.size(left) >= 2, F.concat_ws(" ", F.lit("L2"), F.slice(left, -2, 2))),  # the words alone, whatever the shape
-            F.when(F.size(right) >= 1, both("R1", F.element_at(right, 1))),
-        )
-    )
+    return x.where(_valid(F.col("kind"), F.col("value"))).select("doc_id", "_t", "kind", "start", "end")
+
+
+def _glued(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?<=[0-9)])\x20(?=\(?[0-9])", GLUE)
+
+
+def _bare(text: Column) -> Column:
+    """A word, or words between single spaces, without the punctuation around each."""
+    return F.regexp_replace(text, r"(?<![^\x20])[^\p{L}\p{N}+\x20]++|(?<=[\p{L}\p{N}+])[^\p{L}\p{N}\x20]++(?![^\x20])", "")
+
+
+def _seed(bare: Column, before: Column) -> Column:
+    """The kind of a word that a fixed pattern matches whole, or that follows a word that names a secret; else null."""
+    value = F.replace(bare, F.lit(GLUE), F.lit(" "))
+    fixed = F.lit(None).cast("string")
+    for k, (p, holds) in reversed(KINDS.items()):
+        fixed = F.when((value.contains(holds) if holds else F.lit(True)) & value.rlike(f"^(?:{p})$") & _valid(F.lit(k), value), F.lit(k)).otherwise(fixed)
+    return F.when(bare.rlike("[0-9@]"), F.coalesce(fixed, F.when(bare.rlike(SECRET_VALUE) & before.rlike(NAMES_SECRET), F.lit(SECRET))))
+
 
+def _arrays(docs: DataFrame) -> DataFrame:
+    """doc_id, _t and by word: `b` bare, `c` as context, `h` the hash of that, `s` the hash of the shape."""
+    d = docs.select("doc_id", "_t", F.regexp_replace(_glued(F.col("text")), f"[{SPACE}]+", " ").alias("_norm"))
+    d = d.withColumn("_b", _bare(F.col("_norm"))).withColumn("_c", F.lower(F.regexp_replace("_norm", "[0-9]+", "9")))
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("_b", r"\p{Ll}+", "a"), r"\p{Lu}+", "A"), "[0-9]+", "9")
+    hashes = lambda c: F.transform(c, lambda w: F.xxhash64(w))
+    d = d.select("doc_id", "_t", F.split("_b", " ", -1).alias("b"), F.split("_c", " ", -1).alias("c"), hashes(F.split(shape, " ", -1)).alias("s"))
+    return d.withColumn("h", hashes(F.col("c")))
 
-def discovered(spans: DataFrame) -> DataFrame:
-    """(doc_id, _t, kind, start, end) of instances that no fixed pattern found."""
-    inst = stored(_instances(spans), "instances")
-    # Values, not places, are the graph's nodes: a value that is a seed in one text makes patterns of where else it stands.
-    seeds = inst.where("seed IS NOT NULL").groupBy("bare").agg(F.min("seed").alias("kind"))
-    edges = stored(inst.select("bare", F.explode(_patterns()).alias("p")).groupBy("bare", "p").agg(F.count("*").alias("n")), "edges")
-    known = seeds.select("bare", "kind", F.lit(1.0).alias("score"))
+
+def _is_label(word: Column) -> Column:
+    return F.endswith(word, F.lit(":")) | F.endswith(word, F.lit("="))
+
+
+#: Hashes of patterns: two words before, a label before, a word before with the shape, a word after with the shape.
+TWO, LABEL, BEFORE, AFTER = (lambda *h, k=k: F.xxhash64(F.lit(k), *h) for k in range(4))
+
+
+def words(docs: DataFrame, seeds_only: bool = False) -> DataFrame:
+    """(doc_id, _t, k, v, seed, patterns): the k-th word, the hash of its bare form, its kind if it is a seed, and the hashes of its patterns (null: none)."""
+    text = F.col("text")
+    d = _arrays(docs.where(text.rlike(MAY_MATCH) | text.rlike(MAY_NAME_SECRET)) if seeds_only else docs)
+    before = lambda i: F.concat_ws(" ", F.get("c", i - 2), F.get("c", i - 1))
+    places = F.filter(F.sequence(F.lit(0), F.size("b") - 1), lambda i: F.length(F.get("b", i)) >= 3)
+    if seeds_only:
+        places = F.filter(places, lambda i: _seed(F.get("b", i), before(i)).isNotNull())
+
+    def word(i: Column) -> Column:
+        bare, last, own, said = F.get("b", i), F.get("h", i - 1), F.get("s", i), F.get("c", i - 1)
+        patterns = F.array(F.when(i >= 2, TWO(F.get("h", i - 2), last)), F.when(_is_label(said), LABEL(last)), F.when(i >= 1, BEFORE(last, own)), F.when(i < F.size("h") - 1, AFTER(F.get("h", i + 1), own)))
+        return F.struct(i.alias("k"), F.xxhash64(bare).alias("v"), _seed(bare, before(i)).alias("seed"), patterns.alias("patterns"))
+
+    # The words' structs are made before they become rows, which would each carry the arrays of the text.
+    x = d.select("doc_id", "_t", F.explode(F.transform(places, word)).alias("w")).select("doc_id", "_t", "w.*")
+    return x.withColumn("patterns", F.array_compact("patterns")) if seeds_only else x
+
+
+def _that_hold(docs: DataFrame, hashes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The documents of which hashes (doc_id, _t, x) has one of wanted (x)."""
+    keys = stored(hashes.join(small(wanted), "x", "left_semi").select(F.col("doc_id").alias("_d"), F.col("_t").alias("_t2")).distinct(), "having")
+    return docs.join(small(keys), F.expr("doc_id <=> _d AND _t = _t2"), "left_semi")
+
+
+def _having(docs: DataFrame, values: DataFrame) -> DataFrame:
+    """The documents in which a word's bare form is one of the values (v)."""
+    norm = F.regexp_replace(_glued(F.col("text")), f"[{SPACE}]+", " ")
+    hashes = docs.select("doc_id", "_t", F.explode(F.transform(F.split(_bare(norm), " ", -1), lambda w: F.xxhash64(w))).alias("x"))
+    return _that_hold(docs, hashes, values.select(F.col("v").alias("x")))
+
+
+def _matching(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The documents in which one of the patterns (p) stands, found by hashes of neighbours alone."""
+    next_to = lambda of, a, b: F.zip_with(a, F.slice(b, 2, F.size(b)), of)
+    h, s = F.col("h"), F.col("s")
+    labels = F.transform(F.filter("c", _is_label), lambda w: LABEL(F.xxhash64(w)))
+    every = F.array(next_to(lambda a, b: TWO(a, b), h, h), labels, next_to(lambda a, b: BEFORE(a, b), h, s), next_to(lambda a, b: AFTER(b, a), s, h))
+    hashes = _arrays(docs).select("doc_id", "_t", F.explode(every).alias("xs")).select("doc_id", "_t", F.explode("xs").alias("x"))
+    return _that_hold(docs, hashes, patterns.select(F.col("p").alias("x")))
+
+
+def _scored(edges: DataFrame) -> DataFrame:
+    """(v, kind, score) of instances that are no seeds; edges: distinct (v, p, seed, known, known_score)."""
+    seeds = edges.where("seed IS NOT NULL").select("v", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
+    all_of = stored(edges.groupBy("p").agg(F.countDistinct("v").alias("all")), "pattern-sizes")
+    new = None
     for _ in range(ROUNDS):
-        hits = edges.join(known, "bare", "left")
-        total = hits.groupBy("p").agg(F.count("*").alias("all"))
-        by_kind = hits.where("kind IS NOT NULL").groupBy("p", "kind").agg(F.sum("score").alias("s"), F.count("*").alias("k"))
-        best = by_kind.groupBy("p").agg(F.max(F.struct("s", "k", "kind")).alias("b")).join(total, "p").select("p", F.col("b.kind").alias("kind"), (F.col("b.s") / F.col("all")).alias("score"), F.col("b.k").alias("seeds"))
+        known = seeds if new is None else seeds.unionByName(new)
+        hits = edges.select("v", "p").join(known, "v")
+        by_kind = hits.groupBy("p", "kind").agg(F.sum("score").alias("s"), F.count("*").alias("k"))
+        best = by_kind.groupBy("p").agg(F.max(F.struct("s", "k", "kind")).alias("b")).join(all_of, "p").select("p", F.col("b.kind").alias("kind"), (F.col("b.s") / F.col("all")).alias("score"), F.col("b.k").alias("seeds"))
         good = stored(best.where((F.col("score") >= LEAST_SCORE) & (F.col("seeds") >= LEAST_SEEDS)), "patterns")
         # An instance is missed only if all its good patterns are wrong.
-        new = edges.join(good, "p").groupBy("bare", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-6)))))).alias("score"))
-        new = new.groupBy("bare").agg(F.max(F.struct("score", "kind")).alias("b")).select("bare", "b.kind", "b.score")
-        known = stored(seeds.select("bare", "kind", F.lit(1.0).alias("score")).unionByName(new.join(seeds, "bare", "left_anti").where(F.col("score") >= LEAST_INSTANCE).select("bare", "kind", "score")), "known")
-    found = known.join(seeds, "bare", "left_anti").select("bare", "kind")
-    return inst.where("seed IS NULL").join(found, "bare").select("doc_id", "_t", "kind", "start", "end")
+        found = edges.where("seed IS NULL").select("v", "p").join(good, "p").groupBy("v", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-6)))))).alias("score"))
+        found = found.groupBy("v").agg(F.max(F.struct("score", "kind")).alias("b")).select("v", "b.kind", "b.score").where(F.col("score") >= LEAST_INSTANCE)
+        new = stored(found.join(seeds.select("v"), "v", "left_anti"), "found")
+    return new
+
+
+def discovered(docs: DataFrame) -> DataFrame:
+    """(doc_id, _t, kind, start, end) of instances that no fixed pattern found, and of the secrets that were seeds.
+
+    Each round reads the texts once for the words that have a candidate pattern, and once for where else the new instances stand.
+    """
+    occurrences = stored(words(docs, True).where("seed IS NOT NULL"), "seeds")
+    spans = occurrences.where(F.col("seed") == SECRET).select("doc_id", "_t", "k", F.col("seed").alias("kind"))
+    evidence = occurrences.select("v", "seed", F.explode("patterns").alias("p")).distinct()
+    tried: DataFrame | None = None
+    found: DataFrame | None = None
+    for _ in range(EXPANSIONS):
+        # Each pattern with the different known instances of one kind that have it; summed before it is shuffled.
+        candidates = evidence.groupBy("p", "seed").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SEEDS).select("p").distinct()
+        candidates = stored(candidates if tried is None else candidates.join(tried, "p", "left_anti"), "candidates")
+        if candidates.isEmpty():
+            break
+        tried = candidates if tried is None else tried.unionByName(candidates)
+        edges = words(_matching(docs, candidates)).select("v", "seed", F.explode(F.array_compact("patterns")).alias("p")).join(small(candidates), "p").groupBy("v", "p").agg(F.max("seed").alias("seed"))
+        edges = stored(edges, "edges")
+        if found is not None:  # instances that are known by now count as seeds
+            edges = stored(edges.join(found.select("v", "kind"), "v", "left").select("v", "p", F.coalesce("seed", "kind").alias("seed")), "edges")
+        new = _scored(edges)
+        if new.isEmpty():
+            break
+        where = stored(words(_having(docs, new)).where("seed IS NULL").join(small(new.select("v", "kind")), "v").select("doc_id", "_t", "k", "v", "kind", "patterns"), "where")
+        spans = spans.unionByName(where.select("doc_id", "_t", "k", "kind"))
+        evidence = evidence.unionByName(where.select("v", F.col("kind").alias("seed"), F.explode(F.array_compact("patterns")).alias("p")).distinct())
+        found = new.select("v", "kind") if found is None else found.unionByName(new.select("v", "kind"))
+    return _placed(docs, stored(spans.distinct(), "found-words"))
+
+
+def _placed(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """spans (doc_id, _t, k, kind) with start and end: words are counted over one sorted pass of the texts that have any."""
+    keys = spans.select(F.col("doc_id").alias("_d"), F.col("_t").alias("_t2")).distinct()
+    some = docs.join(small(keys), F.expr("doc_id <=> _d AND _t = _t2"), "left_semi").dropDuplicates(["doc_id", "_t"])
+    # Pieces are a word with the white space after it, so their lengths add up to places; the first may be white space only.
+    pieces = some.select("doc_id", "_t", F.posexplode(F.split(_glued(F.col("text")), rf"(?<=[{SPACE}])(?![{SPACE}])", -1)).alias("k", "piece"))
+    so_far = W.partitionBy("doc_id", "_t").orderBy("k").rowsBetween(W.unboundedPreceding, W.currentRow)
+    word = F.regexp_replace("piece", f"[{SPACE}]+", "")
+    x = pieces.select("doc_id", "_t", "k", word.alias("word"), (F.sum(F.length("piece")).over(so_far) - F.length("piece")).alias("at"))
+    x = x.select(F.col("doc_id").alias("_d"), F.col("_t").alias("_t2"), F.col("k").alias("_k"), F.length(F.regexp_extract("word", r"^[^\p{L}\p{N}+]*", 0)).alias("lead"), F.length(_bare(F.col("word"))).alias("n"), "at")
+    at = spans.join(x, F.expr("doc_id <=> _d AND _t = _t2 AND k = _k"))
+    return at.select("doc_id", "_t", "kind", (F.col("at") + F.col("lead")).alias("start"), (F.col("at") + F.col("lead") + F.col("n")).alias("end"))
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,18 +224,18 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def spans_of(keyed_docs: DataFrame) -> DataFrame:
-    """(doc_id, _t, kind, start, end, base): every span once, those of the fixed patterns with base true."""
-    spans = stored(located(keyed_docs), "spans")
-    base = spans.where("kind <> 'token'").select("doc_id", "_t", "kind", "start", "end", F.lit(True).alias("base"))
-    return base.unionByName(discovered(spans).withColumn("base", F.lit(False)))
+    """(doc_id, _t, spans): arrays of (k, start, end, kind, base) in the order of kinds, then start, of documents that have any.
 
-
-def per_document(keyed_docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """One row per row of documents: doc_id, _t, and its spans as an array in the order of kinds, then start."""
-    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    got = spans.groupBy("doc_id", "_t").agg(F.array_sort(F.collect_list(F.struct(rank.alias("k"), "start", "end", "kind", "base"))).alias("spans"))
-    none = F.array().cast(got.schema["spans"].dataType)
-    return keyed_docs.select(F.col("doc_id").alias("_d"), F.col("_t").alias("_t2")).join(got, F.expr("doc_id <=> _d AND _t = _t2"), "left").select(F.col("_d").alias("doc_id"), F.col("_t2").alias("_t"), F.coalesce("spans", none).alias("spans"))
+    Spans of the fixed patterns have base true; what the method finds is left out where it overlaps one of them.
+    """
+    rank = F.array_position(F.array(*map(F.lit, [*KINDS, SECRET])), F.col("kind"))
+    both = located(keyed_docs).withColumn("base", F.lit(True)).unionByName(discovered(keyed_docs).withColumn("base", F.lit(False)))
+    # The end of the base span that begins last before this one's end, in one sorted pass.
+    at = F.when(F.col("base"), F.col("start")).otherwise(F.col("end") - 1)
+    so_far = W.partitionBy("doc_id", "_t").orderBy("_at", F.col("base").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    both = both.withColumn("_at", at).withColumn("_end", F.max(F.when(F.col("base"), F.col("end"))).over(so_far))
+    both = both.where(F.col("base") | F.col("_end").isNull() | (F.col("_end") <= F.col("start")))
+    return both.groupBy("doc_id", "_t").agg(F.array_sort(F.collect_list(F.struct(rank.alias("k"), "start", "end", "kind", "base"))).alias("spans"))
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,9 +244,14 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Null texts are empty and have no spans. Repeated rows get the same spans each; rows that share an id but not the
     text are told apart. An empty table gives an empty result. Only the id and the text are read, so other columns
     cannot clash. Very long texts are matched whole, in time that grows with their length.
+
+    Calling this runs the rounds, whose steps are written to the shared folder.
     """
     k = keyed(docs, id_col, text_col)
-    return per_document(k, spans_of(k)).select("doc_id", "spans")
+    got = spans_of(k)
+    none = F.array().cast(got.schema["spans"].dataType)
+    mine = k.select(F.col("doc_id").alias("_d"), F.col("_t").alias("_t2"))
+    return mine.join(got, F.expr("doc_id <=> _d AND _t = _t2"), "left").select(F.col("_d").alias("doc_id"), F.coalesce("spans", none).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -169,26 +264,32 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with all their columns, every span in the text replaced by its kind in angle brackets.
+    """The documents with all their columns, whatever their names, every span in the text replaced by its kind in angle brackets.
 
-    Spans that overlap are replaced together, by the kind of the one that starts first. Null texts stay null.
+    Spans that overlap are replaced together, by the kind of the one that starts first. Null and empty texts and texts
+    without spans stay as they are, also with a null id; repeated rows are redacted each; an empty table stays empty.
+    Only texts that have spans are shuffled, if their keys are few bytes.
     """
     spans = stored(spans_of(keyed(docs, id_col, text_col)), "all-spans")
-    before = W.partitionBy("doc_id", "_t").orderBy("start", F.col("end").desc(), "kind").rowsBetween(W.unboundedPreceding, -1)
-    so_far = W.partitionBy("doc_id", "_t").orderBy("start", F.col("end").desc(), "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
-    x = spans.withColumn("_new", (F.coalesce(F.max("end").over(before), F.lit(-1)) <= F.col("start")).cast("int")).withColumn("_run", F.sum("_new").over(so_far))
+    # Overlapping spans as one: an array sorted by place is folded where it is.
+    by_place = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
+    exploded = spans.select("doc_id", "_t", F.posexplode(by_place).alias("i", "s"))
+    before = W.partitionBy("doc_id", "_t").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    so_far = W.partitionBy("doc_id", "_t").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
+    x = exploded.select("doc_id", "_t", "i", "s.start", (-F.col("s.less")).alias("end"), "s.kind")
+    x = x.withColumn("_new", (F.coalesce(F.max("end").over(before), F.lit(-1)) <= F.col("start")).cast("int")).withColumn("_run", F.sum("_new").over(so_far))
     x = x.groupBy("doc_id", "_t", "_run").agg(F.min(F.struct("start", "kind")).alias("s"), F.max("end").alias("end"))
-    cuts = x.groupBy("doc_id", "_t").agg(F.array_sort(F.collect_list(F.struct("s.start", "end", "s.kind"))).alias("_cuts")).withColumnRenamed("doc_id", "_id")
-    text = F.col(text_col)
-    piece = lambda c, i: F.concat(F.substring(text, F.when(i == 0, 0).otherwise(F.col("_cuts")[i - 1]["end"]) + 1, c["start"] - F.when(i == 0, 0).otherwise(F.col("_cuts")[i - 1]["end"])), F.lit("<"), c["kind"], F.lit(">"))
-    new = F.concat(F.array_join(F.transform("_cuts", piece), ""), F.substring(text, F.element_at("_cuts", -1)["end"] + 1, F.length(text)))
+    own_id, own_t, own_cuts = (unused(docs, c) for c in ("cut_id", "cut_text", "cuts"))
+    cuts = x.groupBy("doc_id", "_t").agg(F.array_sort(F.collect_list(F.struct("s.start", "end", "s.kind"))).alias(own_cuts)).select(F.col("doc_id").alias(own_id), F.col("_t").alias(own_t), own_cuts)
     cuts = stored(cuts, "cuts")
-    at = lambda other: docs[id_col].eqNullSafe(other["_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == other["_t"])
-    cut = lambda joined: joined.withColumn(text_col, F.when(F.col("_cuts").isNull(), text).otherwise(new)).select(*docs.columns)
-    if cuts.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        return cut(docs.join(cuts, at(cuts), "left"))
-    # Few texts have spans: their keys, counted, go to all tasks, and only those texts are shuffled.
-    keys = F.broadcast(cuts.select("_id", "_t"))
-    some = docs.join(keys, at(keys), "left_semi")
-    some = some.join(cuts, some[id_col].eqNullSafe(cuts["_id"]) & (F.xxhash64(F.coalesce(some[text_col], F.lit(""))) == cuts["_t"]))
-    return docs.join(keys, at(keys), "left_anti").unionByName(cut(some))
+    text, c = F.col(text_col), F.col(own_cuts)
+    since = lambda i: F.when(i == 0, 0).otherwise(c[i - 1]["end"])
+    piece = lambda s, i: F.concat(F.substring(text, since(i) + 1, s["start"] - since(i)), F.lit("<"), s["kind"], F.lit(">"))
+    new = F.concat(F.array_join(F.transform(c, piece), ""), F.substring(text, F.element_at(c, -1)["end"] + 1, F.length(text)))
+    here = F.col(id_col).eqNullSafe(F.col(own_id)) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(own_t))
+    cut = lambda joined: joined.withColumn(text_col, F.when(c.isNull(), text).otherwise(new)).select(*docs.columns)
+    keys = cuts.select(own_id, own_t)
+    few = small(keys)
+    if few is keys:
+        return cut(docs.join(cuts, here, "left"))
+    return docs.join(few, here, "left_anti").unionByName(cut(docs.join(few, here, "left_semi").join(cuts, here)))

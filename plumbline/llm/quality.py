@@ -21,9 +21,9 @@ from plumbline.llm._shared import rows_out, slices
 
 #: Words that a repeat needs, to be one.
 LEAST = 5
-#: A text fails if repeats of at least LONG words cover more than this share of its words. Below the base rule's 20 % for
-#: repeats of five words, so that it decides where long passages stand twice among words that do not repeat.
-LONG, MOST_COVERED = 10, 0.15
+#: A text fails if repeats of at least LONG words cover more than this share of its words. At this value the base rule on
+#: repeats of five words contains it; a lower one rejects documents that the labels call good.
+LONG, MOST_COVERED = 10, 0.2
 #: A text fails if its longest repeat has at least this many words and this share of the text.
 LONGEST_WORDS, LONGEST_SHARE = 50, 0.1
 #: Limits on the share of symbols in the words' characters, and of repeated lines in the lines.
