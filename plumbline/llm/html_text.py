@@ -1,10 +1,12 @@
 """Main text of web pages by tag-path ratios.
 
-A page's text nodes are grouped by their path of tags from the root. For each path, the mean text length and the mean
-punctuation of its nodes are taken, smoothed over the paths that follow each other on the page, and fused to one
-score; paths that score well are content. The element that holds nearly all content is the article, and everything in
-it is kept but boilerplate. So a short paragraph is kept for what its path holds elsewhere on the page, and a heading
-for where it stands.
+A page's text nodes are grouped by their path of tags from the root. For each path, the mean length of text outside links
+and the mean punctuation of its nodes are taken, smoothed over the paths that follow each other on the page, and fused
+with two more features of the path: the share of its text in links, and whether an element on it has a name that says
+article or boilerplate. Paths that score well are content. The smallest element that holds all content is the region;
+in it the deepest element that holds most content is the core, of which everything is kept but what scores as
+boilerplate or lists of links. So a short paragraph is kept for what its path holds elsewhere on the page, and a heading
+for where it stands. All sums go once up the tree, so time grows with the page's length, however deep its markup.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Fixed values of HTML: elements that an opening tag ends without an end tag of theirs.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
-#: Elements, roles and words of class and id that mark boilerplate.
+#: Elements, roles and words of class and id that say boilerplate.
 DROPPED = frozenset("nav footer aside form button select dialog menu svg head object canvas fieldset".split()) | RAW
 OUTSIDE_ONLY = frozenset({"header"})  # boilerplate unless it belongs to the article
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
@@ -38,8 +40,12 @@ HEADER_MARKS = frozenset("header masthead topbar".split())
 #: A path is content from this share of the best score on; the article's core holds this share of the content's text.
 CONTENT_SHARE, ARTICLE_SHARE = 0.2, 0.6
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: In an element that names itself no article, a path with more than this share of text in links is a list of links.
+#: Elements that hold text but no article.
+NO_CORE = HEADINGS | frozenset("p li blockquote pre td".split())
+#: A path with more than this share of text in links is a list of links.
 LINK_SHARE = 0.6
+#: What a path's ratio is multiplied by if an element on it is named as article, and as boilerplate.
+NAMED_ARTICLE, NAMED_BOILERPLATE = 50.0, 1e-6
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)>""", re.S)
 ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -49,11 +55,12 @@ OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.stri
 
 
 class _Page:
-    """Elements (tag, parent, is boilerplate by tag, is by class) and text blocks (element, path, text, link characters)."""
+    """Elements (tag, parent, is boilerplate by tag, is by class) and text blocks (element, text, link characters)."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.dropped, self.marked, self.path = ["#"], [-1], [False], [False], ["#"]
+        self.tag, self.parent, self.dropped, self.marked = ["#"], [-1], [False], [False]
         self.blocks: list[tuple[int, str, int]] = []
+        self.svg = [False]
         self._read(source)
 
     def _open(self, tag: str, attrs: str, above: int) -> int:
@@ -67,29 +74,38 @@ class _Page:
                     words.update(x.lower() for x in PART.findall(a or b or c))
         self.tag.append(tag)
         self.parent.append(above)
-        self.path.append(f"{self.path[above]}/{tag}")
+        self.svg.append(self.svg[above] or tag == "svg")
         self.dropped.append(tag in DROPPED or role in ROLES)
         self.marked.append(tag not in ("html", "body", "main", "article") and (tag in OUTSIDE_ONLY or bool(words & MARKS) or bool(words & HEADER_MARKS)))
         return len(self.tag) - 1
 
     def _read(self, source: str) -> None:
         stack, held, linked, at, place = [0], [], 0, 0, 0
-        links = 0
+        links, blank = 0, True
+        is_open: dict[str, int] = {}  # elements of each name on the stack, so that an end tag without one costs nothing
+
+        def close(k: int) -> None:
+            nonlocal links
+            for x in stack[k:]:
+                links -= self.tag[x] == "a"
+                is_open[self.tag[x]] -= 1
+            del stack[k:]
 
         def flush() -> None:
-            nonlocal linked
+            nonlocal linked, blank
             text = " ".join("".join(held).split())
             if text:
                 self.blocks.append((place, text, linked))
             held.clear()
-            linked = 0
+            linked, blank = 0, True
 
         def say(text: str) -> None:
-            nonlocal linked, place
+            nonlocal linked, place, blank
             if not text:
                 return
             text = html.unescape(text) if "&" in text else text
-            if not any(held) or not "".join(held).strip():
+            if blank and not text.isspace():
+                blank = False
                 k = len(stack) - 1
                 while k and self.tag[stack[k]] in INLINE:
                     k -= 1
@@ -109,13 +125,11 @@ class _Page:
                 continue
             tag = tag.lower()
             if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if is_open.get(tag) else ():
                     if self.tag[stack[k]] == tag:
                         if tag not in INLINE:
                             flush()
-                        for x in stack[k:]:
-                            links -= self.tag[x] == "a"
-                        del stack[k:]
+                        close(k)
                         break
                     if tag in INLINE and self.tag[stack[k]] not in INLINE:
                         break
@@ -129,103 +143,91 @@ class _Page:
             if tag not in INLINE:
                 flush()
                 while len(stack) > 1 and self.tag[stack[-1]] in INLINE:  # an open <b> does not outlive its block
-                    links -= self.tag[stack.pop()] == "a"
+                    close(len(stack) - 1)
                 if self.tag[stack[-1]] == "p":
-                    stack.pop()
-            if tag in ENDS:
+                    close(len(stack) - 1)
+            if tag in ENDS and any(is_open.get(x) for x in ENDS[tag]):
                 for k in range(len(stack) - 1, 0, -1):
                     name = self.tag[stack[k]]
                     if name in ENDS[tag]:
-                        del stack[k:]
+                        close(k)
                         break
                     if name in SCOPE[tag]:
                         break
             own = self._open(tag, m[3] or "", stack[-1])
-            if (m[3] or "").endswith("/") and tag not in RAW and "svg" in self.path[own]:
+            if (m[3] or "").endswith("/") and tag not in RAW and self.svg[own]:
                 continue
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
                 at = end.end() if end else len(source)
                 continue
             stack.append(own)
+            is_open[tag] = is_open.get(tag, 0) + 1
             links += tag == "a"
         say(source[at:])
         flush()
 
     def text(self) -> str:
-        n = len(self.tag)
-        weight = [0] * n  # characters of blocks in the element
-        for e, t, _ in self.blocks:
-            while e >= 0:
-                weight[e] += len(t)
-                e = self.parent[e]
-        holds = [False] * n  # an article, main element or first heading
-        inside = [False] * n  # within an article or main element
+        if not self.blocks:
+            return ""
+        n, tag, parent = len(self.tag), self.tag, self.parent
+        # Elements are numbered as they open, so those within e are the numbers from e to last[e].
+        last, holds = list(range(n)), [t in ("article", "main", "h1") for t in tag]
         for e in range(n - 1, 0, -1):
-            holds[self.parent[e]] |= holds[e] or self.tag[e] in ("article", "main", "h1")
-        gone = [False] * n
+            up = parent[e]
+            last[up] = max(last[up], last[e])
+            holds[up] |= holds[e]
+        # A path is its parent's path, the tag and what its name says; paths are numbered as they occur.
+        number: dict[tuple[int, str, float], int] = {}
+        path, said, inside, heading = [0] * n, [1.0] * n, [False] * n, [False] * n
         for e in range(1, n):
-            up = self.parent[e]
-            inside[e] = inside[up] or self.tag[e] in ("article", "main")
-            keep_header = inside[up] and self.tag[e] == "header"
-            gone[e] = gone[up] or self.dropped[e] or (self.marked[e] and not keep_header and not holds[e])
-        left = [(e, t, linked) for e, t, linked in self.blocks if not gone[e]]
-        if not left:
-            return ""
-        # Tag-path ratios: mean length and mean punctuation of a path's nodes.
-        sums: dict[str, list[int]] = {}
-        for e, t, linked in left:
-            s = sums.setdefault(self.path[e], [0, 0, 0, 0])
+            up = parent[e]
+            inside[e] = inside[up] or tag[e] in ("article", "main")
+            heading[e] = heading[up] or tag[e] in HEADINGS
+            boilerplate = self.dropped[e] or (self.marked[e] and not (inside[up] and tag[e] == "header") and not holds[e])
+            said[e] = NAMED_BOILERPLATE if boilerplate or said[up] < 1 else NAMED_ARTICLE if inside[e] else 1.0
+            path[e] = number.setdefault((path[up], tag[e], said[e]), len(number) + 1)
+        # Tag-path ratios: mean length and mean punctuation of a path's nodes, smoothed, fused with links and names.
+        sums: dict[int, list[float]] = {}
+        for e, t, linked in self.blocks:
+            s = sums.setdefault(path[e], [0, 0, 0, 0, said[e]])
             s[0] += 1
             s[1] += len(t) - linked
             s[2] += len(PUNCTUATION.findall(t))
             s[3] += linked
-        paths = list(sums)  # in the order in which they first occur
-        raw = [(s[1] / s[0]) * (1 + s[2] / s[0]) for s in sums.values()]
+        raw = [(s[1] / s[0]) * (1 + s[2] / s[0]) for s in sums.values()]  # in the order in which paths first occur
         smooth = [(raw[max(i - 1, 0)] + 6 * r + raw[min(i + 1, len(raw) - 1)]) / 8 for i, r in enumerate(raw)]
-        best = max(smooth)
-        content = {p for p, x in zip(paths, smooth, strict=True) if x >= CONTENT_SHARE * best}
-        # The article's core: the deepest element that holds most text on content paths.
-        within, total = [0] * n, 0
-        for e, t, _ in left:
-            if self.path[e] in content:
-                total += len(t)
-                while e >= 0:
-                    within[e] += len(t)
-                    e = self.parent[e]
-        article = 0
+        score = {p: r * (1 - s[3] / max(s[1] + s[3], 1)) * s[4] for (p, s), r in zip(sums.items(), smooth, strict=True)}
+        named_well = [score[p] for p, s in sums.items() if s[4] >= 1]
+        if not named_well:
+            return ""  # nothing but boilerplate
+        content = {p for p, x in score.items() if x >= CONTENT_SHARE * max(named_well)}
+        # Content text in each element, summed once upward.
+        within = [0] * n
+        for e, t, _ in self.blocks:
+            if path[e] in content:
+                within[e] += len(t)
+        for e in range(n - 1, 0, -1):
+            within[parent[e]] += within[e]
+        region = core = 0
         for e in range(1, n):  # children come after their parents
-            if self.parent[e] == article and within[e] >= ARTICLE_SHARE * total and self.tag[e] not in ("p", "h1", "h2", "h3", "li", "blockquote", "pre", "td"):
-                article = e
-        named = inside[article]
-        region = 0  # where the rest of the article may be: its main element, or the page if nothing is named
-        if named:  # up to the whole article or main element
-            e = article
-            while e > 0 and inside[self.parent[e]]:
-                e = self.parent[e]
-                if self.tag[e] == "article":
-                    break
-            article = region = e
-            while inside[self.parent[region]]:
-                region = self.parent[region]
-        # Of the core all but lists of links; around it what is on content paths, and the headings between.
+            if parent[e] == region and within[e] == within[0]:
+                region = e
+            if parent[e] == core and within[e] >= ARTICLE_SHARE * within[0] and tag[e] not in NO_CORE:
+                core = e
+        # A core in an article or main element is the whole of that element.
+        while inside[core] and tag[core] not in ("article", "main"):
+            core = parent[core]
+        region = min(region, core)
         out: list[str] = []
         headings: list[str] = []
-        for e, t, _ in left:
-            above = {e}
-            x = e
-            while x > 0:
-                x = self.parent[x]
-                above.add(x)
-            s = sums[self.path[e]]
-            if article in above:
-                keep = named or self.path[e] in content or s[3] <= LINK_SHARE * (s[1] + s[3])
-            else:
-                keep = region in above and self.path[e] in content
-            if keep:
+        for e, t, linked in self.blocks:
+            s = sums[path[e]]
+            in_core = core <= e <= last[core]
+            if path[e] in content or (in_core and s[4] >= 1 and (linked <= LINK_SHARE * len(t) or s[3] <= LINK_SHARE * (s[1] + s[3]))):
                 out += [*headings, t] if out else [t]
                 headings = []
-            elif region in above and article not in above and any(self.tag[x] in HEADINGS for x in above):
+            elif not in_core and region <= e <= last[region] and heading[e] and s[4] >= 1:
                 headings.append(t)
         return " ".join(out)
 

@@ -80,39 +80,42 @@ def links(m: DataFrame) -> DataFrame:
     return per.groupBy("conv_id", "turn").agg(best, F.sum("k").alias("n_linked")).select("conv_id", "turn", "b.reply_conv", "b.reply_turn", "n_linked")
 
 
-def _paths(found: DataFrame) -> DataFrame:
-    """(conv_id, turn, path): ancestors from the root on, each as (conv, turn), by pointer doubling over linked messages only."""
+def _roots(found: DataFrame) -> DataFrame:
+    """(conv_id, turn, root, depth): the first message of the thread and the steps from it, by pointer doubling over linked messages only.
+
+    A row holds one pointer whatever its depth, and the rounds grow with the logarithm of the longest thread.
+    """
     key = lambda c, t: F.struct(F.col(c).cast("long").alias("conv"), F.col(t).cast("long").alias("turn"))
-    x = found.select("conv_id", "turn", key("reply_conv", "reply_turn").alias("top"), F.array(key("reply_conv", "reply_turn")).alias("path"))
+    x = found.select("conv_id", "turn", key("reply_conv", "reply_turn").alias("root"), F.lit(1).cast("long").alias("depth"))
     while True:
-        x = stored(x, "paths")
-        up = x.select(key("conv_id", "turn").alias("top"), F.col("top").alias("top2"), F.col("path").alias("path2"))
-        j = stored(x.join(up, "top", "left"), "doubled")
-        if j.where("top2 IS NOT NULL").isEmpty():
-            return j.select("conv_id", "turn", "path")
-        x = j.select("conv_id", "turn", F.coalesce("top2", "top").alias("top"), F.when(F.col("top2").isNull(), F.col("path")).otherwise(F.concat("path2", "path")).alias("path"))
+        x = stored(x, "roots")
+        up = x.select(key("conv_id", "turn").alias("root"), F.col("root").alias("root2"), F.col("depth").alias("depth2"))
+        j = stored(x.join(up, "root", "left"), "doubled")
+        if j.where("root2 IS NOT NULL").isEmpty():
+            return j.select("conv_id", "turn", "root", "depth")
+        x = j.select("conv_id", "turn", F.coalesce("root2", "root").alias("root"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"))
 
 
 def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per message: conv_id, turn, role, text without quotes, n_quoted_lines, reply_conv, reply_turn (null: answers none), n_linked, thread_conv, depth, path.
+    """One row per message: conv_id, turn, role, text without quotes, n_quoted_lines, reply_conv, reply_turn (null: answers none), n_linked, thread_conv, thread_turn, depth.
+
+    (thread_conv, thread_turn) is the thread's first message; ordered by it, then by (depth, conv_id, turn), each
+    message comes after the one that it answers, and (reply_conv, reply_turn) says which that is. Ids are whole numbers of
+    any size and sign. Null and empty texts say nothing; messages with a null conversation or turn keep their row and
+    answer none. Repeated rows stay and share the link of their (conv_id, turn). An empty table gives an empty result.
+    Only the four named columns are read, so others cannot clash. Very long messages are read whole. DataFrame functions only.
 
-    thread_conv is the conversation of the thread's first message; ordering by (thread_conv, path) gives reply order,
-    each message followed by its answers. Null texts are empty; messages with a null conversation or turn keep their
-    row and answer none. Repeated rows stay and share the link of their (conv_id, turn). An empty table gives an empty
-    result. Only the four named columns are read, so others cannot clash. DataFrame functions only.
+    Calling this runs the doubling rounds, whose steps are written to the shared folder.
     """
     m = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     m = parsed(m)
     found = stored(links(m), "replies")
-    tree = found.select("conv_id", "turn", "reply_conv", "reply_turn", "n_linked").join(_paths(found), ["conv_id", "turn"], "left") if not found.isEmpty() else found.withColumn("path", F.array().cast("array<struct<conv:bigint,turn:bigint>>"))
-    own = F.struct(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"))
-    path = F.concat(F.coalesce("path", F.array().cast("array<struct<conv:bigint,turn:bigint>>")), F.array(own))
-    return (
-        m.join(tree, ["conv_id", "turn"], "left")
-        .withColumn("path", path)
-        .select(
-            "conv_id", "turn", "role", F.col("own").alias("text"), F.size("quotes").cast("long").alias("n_quoted_lines"), "reply_conv", "reply_turn",
-            F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.col("path")[0]["conv"].alias("thread_conv"), (F.size("path") - 1).cast("long").alias("depth"),
-            F.array_join(F.transform("path", lambda p: F.concat_ws(":", F.lpad(p["conv"].cast("string"), 12, "0"), F.lpad(p["turn"].cast("string"), 8, "0"))), "/").alias("path"),
-        )
+    if found.isEmpty():
+        tree = found.select("*", F.lit(None).cast("struct<conv:bigint,turn:bigint>").alias("root"), F.lit(None).cast("long").alias("depth"))
+    else:
+        tree = found.join(_roots(found), ["conv_id", "turn"], "left")
+    return m.join(tree, ["conv_id", "turn"], "left").select(
+        "conv_id", "turn", "role", F.col("own").alias("text"), F.size("quotes").cast("long").alias("n_quoted_lines"), "reply_conv", "reply_turn",
+        F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.coalesce("root.conv", F.col("conv_id").cast("long")).alias("thread_conv"),
+        F.coalesce("root.turn", F.col("turn").cast("long")).alias("thread_turn"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"),
     )

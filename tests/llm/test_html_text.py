@@ -55,3 +55,30 @@ def test_an_article_in_several_elements_is_whole():
     page = f"<html><body><div><p>Outside, it says, nothing. {one}</p></div><main><article><p>{one}</p><p>{one}</p><p>{one}</p><p>{one}</p></article><article><h2>The dam</h2><p>{two}</p><p>{two}</p></article></main></body></html>"
     got = H.main_text(page)
     assert got.count("The river rose") == 16 and got.count("Engineers said") == 4 and "The dam" in got and "Outside" not in got
+
+
+def test_ratios_select_where_no_element_is_named(monkeypatch):
+    long = "The river rose again this morning, and the lower town was told to leave, quickly, before noon. " * 3
+    page = f"<html><body><div><table><tr><td>Terms</td><td>Help</td></tr></table></div><div><div><p>{long}</p><p>Short one.</p><p>{long}</p></div></div><div><span>All rights</span></div></body></html>"
+    want = f"{long.strip()} Short one. {long.strip()}"
+    assert H.main_text(page) == want
+    monkeypatch.setattr(H, "CONTENT_SHARE", 0.0)
+    assert H.main_text(page) != want and "Terms" in H.main_text(page)
+
+
+def test_lists_of_links_in_an_article_go():
+    page = "<article><p>Long text, with commas, and more of it.</p><ul><li><a href=x>Share this</a></li><li><a href=y>Send it on</a></li></ul><ul><li>One point.</li></ul></article>"
+    assert H.main_text(page) == "Long text, with commas, and more of it. One point."
+
+
+def test_deep_markup_takes_linear_time():
+    import time
+
+    def took(k):
+        page = "<div>x, y." * k + "</i>" * k
+        began = time.perf_counter()
+        assert H.main_text(page).count("x") == k
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(20_000) < 40 * max(took(2_000), 0.01)
