@@ -61,6 +61,24 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if held[0] <= BROADCAST_BYTES // 64 and (held[1] or 0) <= BROADCAST_BYTES else df
 
 
+#: Rows of one key from which it counts as hot.
+HOT = 2_000
+
+
+def join_by_key(rows: DataFrame, per_key: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """rows joined with per_key, a stored table of one row a key that says in `count` how many rows have it.
+
+    Rows of hot keys are joined where they are, as the hot keys are sent to all tasks if they are few bytes; the others
+    are shuffled. Both sides of the shuffled join are plain exchanges, which Spark can split where a key is large.
+    """
+    hot = per_key.where(F.col(count) >= HOT)
+    few = small(hot)
+    if few is hot:
+        return rows.join(per_key, keys)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(per_key.where(F.col(count) < HOT), keys)
+    return rows.join(few, keys).unionByName(cold)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df does not have, whatever the case of its letters."""
     have = {c.lower() for c in df.columns}

@@ -201,7 +201,8 @@ class _Page:
         named_well = [score[p] for p, s in sums.items() if s[4] >= 1]
         if not named_well:
             return ""  # nothing but boilerplate
-        content = {p for p, x in score.items() if x >= CONTENT_SHARE * max(named_well)}
+        least = CONTENT_SHARE * max(named_well)
+        content = {p for p, x in score.items() if x >= least}
         # Content text in each element, summed once upward.
         within = [0] * n
         for e, t, _ in self.blocks:

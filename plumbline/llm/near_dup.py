@@ -23,15 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._shared import rows_out, stored
+from plumbline.llm._shared import join_by_key, rows_out, stored
 from plumbline.operators.graph import components
 
 #: Words in a shingle; the threshold as 100 * intersection >= SIMILAR * union.
 SHINGLE, SIMILAR = 5, 75
 #: Independent trees; bytes of a sketch (one for each minwise hash); branches and levels of large nodes.
 TREES, SKETCH, BRANCHES, LEVELS = 12, 96, 2, 4
-#: Rows of a block; comparisons and rows that a node may have to be compared whole.
-BLOCK, MOST_WORK, MOST_ROWS = 1000, 4_000_000, 100_000
+#: Rows of a block and the shingles that its texts have together; comparisons and rows that a node may have to be compared whole.
+BLOCK, BLOCK_SHINGLES, MOST_WORK, MOST_ROWS = 1000, 1_000_000, 4_000_000, 100_000
 #: Least sketch agreement of a pair to be confirmed: four and a half standard deviations below the threshold.
 AGREE = 0.75 - 4.5 * (0.75 * 0.25 / SKETCH) ** 0.5
 
@@ -227,7 +227,7 @@ def _labelled(classes: DataFrame, found: DataFrame) -> DataFrame:
 def _nodes(classes: DataFrame) -> DataFrame:
     """(node, cls, size): the trees' first level, without nodes of one class."""
     first = classes.select("cls", F.posexplode("tokens").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "cls")
-    return first.join(first.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "node")
+    return join_by_key(first, stored(first.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "node-sizes"), ["node"], "size")
 
 
 def _near(nodes: DataFrame, classes: DataFrame) -> DataFrame:
@@ -270,8 +270,10 @@ def _cells(rows: DataFrame) -> DataFrame:
     The key's largest component is cut into blocks, and so is the rest; each block of the one meets each of the other,
     and blocks of the rest meet each other. Rows of the largest component never meet for their own sake.
     """
-    per = rows.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "comp")).alias("most"), F.sum("k").alias("all"), F.count("*").alias("comps")).where("comps > 1")
-    per = per.select("key", F.col("most.comp").alias("_most"), F.ceil(F.col("most.k") / BLOCK).alias("_gb"), F.ceil((F.col("all") - F.col("most.k")) / BLOCK).alias("_rb"))
+    per = rows.groupBy("key", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("held"))
+    per = per.groupBy("key").agg(F.max(F.struct("k", "comp", "held")).alias("most"), F.sum("k").alias("all"), F.sum("held").alias("held"), F.count("*").alias("comps")).where("comps > 1")
+    blocks = lambda k, held: F.greatest(F.ceil(k / BLOCK), F.ceil(held / BLOCK_SHINGLES))
+    per = per.select("key", F.col("most.comp").alias("_most"), blocks(F.col("most.k"), F.col("most.held")).alias("_gb"), blocks(F.col("all") - F.col("most.k"), F.col("held") - F.col("most.held")).alias("_rb"))
     x = rows.join(per, "key").withColumn("_in", F.col("comp") == F.col("_most"))
     x = x.withColumn("_b", F.pmod(F.xxhash64("cls"), F.when(F.col("_in"), F.col("_gb")).otherwise(F.col("_rb"))))
     every = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)

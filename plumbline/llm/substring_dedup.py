@@ -5,8 +5,10 @@ have equal anchors, and about one place in 22 is one. Suffixes are split into gr
 document alone fills are dropped before any text moves. A group that fits in memory becomes a pair of subtrees, one
 over what follows the anchor and one over what precedes it, both as sorted arrays with longest common prefixes. A
 node of depth 50 - l in the first that shares leaves with a node of depth l in the second is a repeat of 50 words; its
-least document is the one that keeps it. A group that does not fit gets a longer prefix, the 50 words themselves: then
-every node is a leaf, of which only the least document is needed, and Spark sums that before it shuffles.
+least document is the one that keeps it. A group that does not fit is split by longer prefixes: the 25 words from the
+anchor on for windows that hold them, the 25 before it, read backwards, for the others. What still does not fit gets
+the 50 words themselves as prefix: then every node is a leaf, of which only the least document is needed, and Spark
+sums that before it shuffles.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._shared import rows_out, stored
+from plumbline.llm._shared import join_by_key, rows_out, stored
 
-#: Words of a window, of the shortest prefix, and the places that an anchor can have in its window.
-WINDOW, PREFIX = 50, 8
+#: Words of a window, of the shortest prefix and of the longer one, and the places that an anchor can have in its window.
+WINDOW, PREFIX, LONGER = 50, 8, 25
 PLACES = WINDOW - PREFIX + 1
 #: Distinct contexts up to which a group is built in memory; rows that a batch of groups gathers; words looked at in one piece.
 GROUP, BATCH, PIECE = 20_000, 30_000, 1 << 20
@@ -150,22 +152,37 @@ def _matrix(texts: list[bytes], width: int, nearest_last: bool) -> np.ndarray:
     return out
 
 
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, c, doc_id, lo, hi, before, after) with `g`, the hash of a longer prefix, once for the windows that hold 25 words from the anchor on and once for those that hold 25 before it."""
+    schema = pa.schema([("g", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("before", pa.binary()), ("after", pa.binary())])
+    for batch in batches:
+        out: dict[str, list] = {f.name: [] for f in schema}
+        for h, c, doc, lo, hi, before, after in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            half = WINDOW - LONGER
+            for words, a, b, side in ((after.split()[:LONGER], lo, min(hi, half), 1), (before.split()[-LONGER:], max(lo, half + 1), hi, 2)):
+                if a <= b:
+                    g = np.uint64(xxhash.xxh3_64_intdigest(b"%d %d " % (h, side) + b" ".join(words))).view(np.int64).item()
+                    for name, v in zip(out, (g, h, c, doc, a, b, before, after), strict=True):
+                        out[name].append(v)
+        yield rows_out(out, schema)
+
+
 def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, c, doc_id, lo, hi, before, after), one for each distinct context, sorted by h; whole groups are gathered to batches."""
+    """Rows (g, h, c, doc_id, lo, hi, before, after), one for each distinct context, sorted by the group g; whole groups are gathered to batches."""
     schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("owner", pa.int64()), ("mask", pa.int64())])
     held: list[pa.RecordBatch] = []
 
     def done(t: pa.Table) -> pa.RecordBatch:
-        h, c, doc, lo, hi = (t.column(i).to_numpy() for i in range(5))
-        mask = repeats(h, doc, lo, hi, _matrix(t.column(5).to_pylist(), PLACES - 1, True), _matrix(t.column(6).to_pylist(), WINDOW, False))
+        g, h, c, doc, lo, hi = (t.column(i).to_numpy() for i in range(6))
+        mask = repeats(g, doc, lo, hi, _matrix(t.column(6).to_pylist(), PLACES - 1, True), _matrix(t.column(7).to_pylist(), WINDOW, False))
         return rows_out({"h": h, "c": c, "owner": doc, "mask": mask}, schema)
 
     for batch in batches:
         held.append(batch)
         if sum(b.num_rows for b in held) >= BATCH:
             t = pa.Table.from_batches(held)
-            h = t.column(0).to_numpy()
-            cut = int(np.searchsorted(h, h[-1]))  # the last group may go on
+            g = t.column(0).to_numpy()
+            cut = int(np.searchsorted(g, g[-1]))  # the last group may go on
             if cut:
                 yield done(t.slice(0, cut))
                 held = t.slice(cut).to_batches()
@@ -239,14 +256,22 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     hot = stored(size.where(F.col("size") > GROUP).select("h"), "hot")
     cols = ["h", "c", "doc_id", "lo", "hi", "before", "after"]
     fits = ctx.join(hot, "h", "left_anti").join(size.where("size > 1").select("h"), "h", "left_semi").select(*cols)
-    masks = fits.repartition("h").sortWithinPartitions("h").mapInArrow(_built, "h long, c long, owner long, mask long")
+    built = lambda df: df.repartition("g").sortWithinPartitions("g").mapInArrow(_built, "h long, c long, owner long, mask long").drop("owner")
+    masks = built(fits.select(F.col("h").alias("g"), *cols))
     if not hot.isEmpty():
-        w = stored(ctx.join(hot, "h", "left_semi").select(*cols).mapInArrow(_windows, "h long, c long, doc_id long, back int, w binary"), "windows")
-        low = w.groupBy("h", "w").agg(F.min("doc_id").alias("low"))
-        hit = w.join(low, ["h", "w"]).where("doc_id > low").groupBy("h", "c").agg(F.sum(F.expr("shiftleft(1L, back)")).alias("mask"))
-        masks = masks.unionByName(ctx.join(hot, "h", "left_semi").select("h", "c", F.col("doc_id").alias("owner")).join(hit, ["h", "c"], "left").select("h", "c", "owner", F.coalesce("mask", F.lit(0).cast("bigint")).alias("mask")))
+        longer = stored(ctx.join(hot, "h", "left_semi").select(*cols).mapInArrow(_split, "g long, h long, c long, doc_id long, lo int, hi int, before binary, after binary"), "longer")
+        size = longer.groupBy("g").agg(F.count("*").alias("size")).where("size > 1")
+        huge = stored(size.where(F.col("size") > GROUP).select("g"), "huge")
+        masks = masks.unionByName(built(longer.join(huge, "g", "left_anti").join(size.select("g"), "g", "left_semi").select("g", *cols)))
+        if not huge.isEmpty():
+            w = stored(longer.join(huge, "g", "left_semi").select(*cols).mapInArrow(_windows, "h long, c long, doc_id long, back int, w binary"), "windows")
+            low = stored(w.groupBy("h", "w").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1"), "least")
+            hit = join_by_key(w, low, ["h", "w"], "n").where("doc_id > low")
+            masks = masks.unionByName(hit.select("h", "c", F.expr("shiftleft(1L, back)").alias("mask")).distinct())
+    # Each window is in one group, so the bits of a context's rows are different ones.
+    masks = masks.groupBy("h", "c").agg(F.sum("mask").alias("mask"))
     # Contexts alone in their group have no mask; a document above a context's owner repeats all its windows.
-    owner = ctx.select("h", "c", F.col("doc_id").alias("owner")).join(masks.drop("owner"), ["h", "c"], "left")
+    owner = ctx.select("h", "c", F.col("doc_id").alias("owner")).join(stored(masks, "masks"), ["h", "c"], "left")
     owner = stored(owner, "owners")
     spans = inst.select("h", "c", "doc_id", "content", "at", "lo", "hi").join(owner, ["h", "c"])
     spans = spans.withColumn("mask", F.when(F.col("doc_id") > F.col("owner"), F.lit(-1).cast("bigint")).otherwise(F.coalesce("mask", F.lit(0).cast("bigint")))).where("mask <> 0")
