@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +43,10 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
 
 
-def shortest_paths(edges: DataFrame, start, most: int = 1000) -> DataFrame:
+def shortest_paths(edges: DataFrame, start, most: int | None = None) -> DataFrame:
     """(id, hops, path): every vertex that can be reached from `start` with the least of its shortest paths, as an array.
 
-    Breadth first: a round joins the frontier with the edges and drops what was reached before. The start is reached
+    With `most`, up to so many hops; else until nothing new is reached. Breadth first: a round joins the frontier with the edges and drops what was reached before. The start is reached
     even if no edge has it.
     """
     spark = edges.sparkSession
@@ -52,7 +54,7 @@ def shortest_paths(edges: DataFrame, start, most: int = 1000) -> DataFrame:
     kind = e.schema["a"].dataType.simpleString()
     frontier = stored(spark.range(1).select(F.lit(start).cast(kind).alias("id"), F.lit(0).alias("hops"), F.array(F.lit(start).cast(kind)).alias("path")), "frontier")
     seen = frontier
-    for hop in range(1, most + 1):
+    for hop in itertools.count(1) if most is None else range(1, most + 1):
         step = frontier.join(e.select(F.col("a").alias("id"), "b"), "id").select(F.col("b").alias("id"), F.lit(hop).alias("hops"), F.concat("path", F.array("b")).alias("path"))
         frontier = stored(step.join(seen.select("id"), "id", "left_anti").groupBy("id").agg(F.first("hops").alias("hops"), F.min("path").alias("path")), "frontier")
         if frontier.isEmpty():

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import graph, spatial, takeoff
 from plumbline.plans.base import query, table
-from plumbline.plans.graphs import EDGES, edges
+from plumbline.plans.graphs import A, EDGES, edges
 
 #: A line item as a horizontal stroke: its pen, height and ends.
 STROKES = "s AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS pen, l_partkey % 400 AS y, l_orderkey % 900 AS x0, l_orderkey % 900 + CAST(l_quantity AS BIGINT) AS x1 FROM lineitem WHERE l_returnflag = 'A')"
@@ -203,15 +203,17 @@ def material_classes(spark, sf_dir):
 
 
 NAMED = f"""{EDGES}, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, top) AS (SELECT DISTINCT a, a FROM u UNION SELECT u.b, r.top FROM r JOIN u ON u.a = r.id), c AS (SELECT id, min(top) AS run FROM r GROUP BY id),
-n AS (SELECT run, count(*) AS pieces, list_sort(list(DISTINCT p_type) FILTER (p_size > 35)) AS names FROM c LEFT JOIN part ON p_partkey = id GROUP BY run)"""
+seeds AS (SELECT DISTINCT {A} AS id, p_type FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 35),
+n AS (SELECT run, count(DISTINCT id) AS pieces, list_sort(list(DISTINCT p_type) FILTER (p_type IS NOT NULL)) AS names FROM c LEFT JOIN seeds USING (id) GROUP BY run)"""
 
 
 @query(f"""WITH RECURSIVE {NAMED} SELECT run, pieces, CASE WHEN names IS NULL THEN CASE WHEN pieces <= 2 THEN 'DECLARED' ELSE 'UNOWNED' END WHEN len(names) = 1 THEN 'CONFIRMED' ELSE 'AMBIGUOUS' END AS state, CASE WHEN len(names) = 1 THEN names[1] END AS identity FROM n""")
 def propagated_identity(spark, sf_dir):
     """A run takes the one name that its seeds agree on; short runs without a seed take what their pen declares; several names stay open."""
     c = graph.components(edges(spark, sf_dir))
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") > 35, F.col("p_type")).alias("name"))
-    n = c.join(p, "id", "left").groupBy(F.col("component").alias("run")).agg(F.count("*").alias("pieces"), F.array_sort(F.collect_set("name")).alias("names"))
+    p = table(spark, sf_dir, "part").where("p_size > 35").select("p_partkey", F.col("p_type").alias("name"))
+    seeds = table(spark, sf_dir, "lineitem").join(p, F.expr("l_partkey = p_partkey")).groupBy(F.expr(A).alias("id")).agg(F.collect_set("name").alias("own"))
+    n = c.join(seeds, "id", "left").groupBy(F.col("component").alias("run")).agg(F.count("*").alias("pieces"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("own")))).alias("names"))
     state = F.when(F.size("names") == 1, "CONFIRMED").when(F.size("names") > 1, "AMBIGUOUS").when(F.col("pieces") <= 2, "DECLARED").otherwise("UNOWNED")
     return n.select("run", "pieces", state.alias("state"), F.when(F.size("names") == 1, F.col("names")[0]).alias("identity"))
 
@@ -256,11 +258,11 @@ def writing_pens(spark, sf_dir):
     return g.agg(F.count("*").alias("strokes"), at.alias("all_at_labels"), (at & (F.count("*") >= 8)).alias("writes"))
 
 
-@query("""WITH n AS (SELECT p_brand AS family, count(*) AS labels, count(*) FILTER (p_size IN (10, 15, 20, 25, 32, 40, 50)) AS with_dn FROM part GROUP BY p_brand) SELECT family, labels, with_dn, with_dn * 100 >= labels * 14 AS qualifies FROM n""")
+@query("""WITH n AS (SELECT p_brand || ' ' || p_size % 5 AS family, count(*) AS labels, count(*) FILTER (p_size IN (10, 15, 20, 25, 32, 40, 50)) AS with_dn FROM part GROUP BY ALL) SELECT family, labels, with_dn, with_dn * 100 >= labels * 50 AS qualifies FROM n""")
 def qualified_families(spark, sf_dir):
-    """Families whose labels carry a dimension often enough."""
-    n = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("family")).agg(F.count("*").alias("labels"), F.count(F.when(F.col("p_size").isin(10, 15, 20, 25, 32, 40, 50), 1)).alias("with_dn"))
-    return n.withColumn("qualifies", F.col("with_dn") * 100 >= F.col("labels") * 14)
+    """Families of which at least half the labels carry a dimension."""
+    n = table(spark, sf_dir, "part").groupBy(F.concat_ws(" ", "p_brand", F.expr("p_size % 5")).alias("family")).agg(F.count("*").alias("labels"), F.count(F.when(F.col("p_size").isin(10, 15, 20, 25, 32, 40, 50), 1)).alias("with_dn"))
+    return n.withColumn("qualifies", F.col("with_dn") * 100 >= F.col("labels") * 50)
 
 
 @query("""WITH t AS (SELECT DISTINCT p_name || ' ' || p_type AS layer FROM part), s AS (SELECT layer, string_split(layer, ' ') AS tokens FROM t) SELECT a.layer AS layer, b.layer AS other FROM s a JOIN s b ON a.layer < b.layer AND a.tokens[1] = b.tokens[1] AND CAST(a.tokens[2] = b.tokens[2] AS INT) + CAST(a.tokens[3] = b.tokens[3] AS INT) >= 1""")

@@ -9,7 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.operators import choose
+from plumbline.operators import graph
 from plumbline.plans.base import query, table
+from plumbline.plans.graphs import BOTH, EDGES, edges
 from plumbline.plans.takeoff import RUNS, runs
 
 
@@ -84,14 +86,11 @@ def unknown_characters(spark, sf_dir):
 
 @query("""WITH x AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, avg(v::DOUBLE) AS m FROM x GROUP BY ALL), d AS (SELECT x.vec_id, c.label AS near, sum((x.v::DOUBLE - c.m) * (x.v::DOUBLE - c.m)) AS d FROM x JOIN c USING (i) GROUP BY ALL) SELECT vec_id, arg_min(near, d) AS nearest FROM d GROUP BY vec_id""")
 def classified_glyphs(spark, sf_dir):
-    """The class whose mean is nearest; the classes' means are few (one row each, counted) and sent to all tasks."""
-    e = table(spark, sf_dir, "embeddings")
-    x = e.select("label", F.posexplode("embedding").alias("i", "v"))
-    c = x.groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
-    far = F.aggregate(F.zip_with("embedding", "mean", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, d: s + d)
-    small = F.broadcast(c) if c.count() <= 10_000 else c
-    pairs = e.select("vec_id", "embedding").join(small.withColumnRenamed("label", "near"))
-    return pairs.groupBy("vec_id").agg(F.min_by("near", far).alias("nearest"))
+    """The class whose mean is nearest: each place of a vector meets that place of the classes' means, and the squares are summed by vector and class."""
+    x = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
+    c = x.groupBy(F.col("label").alias("near"), "i").agg(F.avg("v").alias("m"))
+    d = x.join(c, "i").groupBy("vec_id", "near").agg(F.sum((F.col("v") - F.col("m")) * (F.col("v") - F.col("m"))).alias("d"))
+    return d.groupBy("vec_id").agg(F.min_by("near", "d").alias("nearest"))
 
 
 @query("""SELECT md5(text) AS fingerprint, count(*) AS uses, min(doc_id) AS classified FROM documents GROUP BY ALL""")
@@ -133,14 +132,13 @@ def region_explained(spark, sf_dir):
     return r.groupBy(F.col("state").alias("role")).agg(F.count("*").alias("runs"), F.sum("metres").alias("ink"))
 
 
-@query("""SELECT count(*) AS rows, 4 AS orders_tried, true AS same FROM lineitem""")
+@query(f"""WITH RECURSIVE {EDGES}, {BOTH}, r(id, top) AS (SELECT DISTINCT a, a FROM u UNION SELECT u.b, r.top FROM r JOIN u ON u.a = r.id) SELECT id, min(top) AS component, 3::BIGINT AS orders_that_agree FROM r GROUP BY id""")
 def determinism(spark, sf_dir):
-    """One signature whatever the order of rows: as they come, reversed and shuffled twice."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    turned = [li, li.orderBy(F.desc("l_orderkey")), li.repartition(7, F.rand(11)), li.repartition(5, F.rand(23))]
-    sign = lambda x: x.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*x.columns).cast("decimal(38,0)")).alias("s"))
-    every = reduce(DataFrame.unionByName, [sign(x) for x in turned])
-    return every.agg(F.max("rows").alias("rows"), F.count("*").cast("int").alias("orders_tried"), (F.countDistinct("s") == 1).alias("same"))
+    """The components of the network whatever the order of its segments: as they come, turned round, and dealt anew; a row that not all give is there with fewer than three."""
+    e = edges(spark, sf_dir)
+    turned = [e, e.select(F.col("b").alias("a"), F.col("a").alias("b")).orderBy(F.desc("a")), e.repartition(7, F.rand(11))]
+    every = reduce(DataFrame.unionByName, [graph.components(x) for x in turned])
+    return every.groupBy("id", "component").agg(F.count("*").alias("orders_that_agree"))
 
 
 @query("""SELECT quality, toxic, count(*) AS n, count(*) FILTER (contains(text, '!!')) AS shouting, count(*) FILTER (regexp_matches(text, '[#*$%&|<>]{3}')) AS symbols FROM labels JOIN documents USING (doc_id) GROUP BY ALL""")
@@ -150,15 +148,19 @@ def label_scoring(spark, sf_dir):
     return j.groupBy("quality", "toxic").agg(F.count("*").alias("n"), F.count(F.when(F.col("text").contains("!!"), 1)).alias("shouting"), F.count(F.when(F.col("text").rlike("[#*$%&|<>]{3}"), 1)).alias("symbols"))
 
 
-@query("""SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
+@query("""SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(list_filter(regexp_split_to_array(b.text, '[ \\n]+'), lambda w: w <> '')) >= 3""")
 def contamination_scan(spark, sf_dir):
-    """Documents that hold a benchmark text: candidates share a line's first words, then the whole text decides."""
+    """Documents that hold a benchmark text of three words or more: candidates share the text's inner words, then the whole text decides."""
     d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     words = lambda c: F.filter(F.split(c, r"[ \n]+"), lambda w: w != "")
-    # A text's words from the second to the fifth before last are whole words wherever it stands.
-    probe = b.select("item_id", F.col("text").alias("item"), F.array_join(F.slice(words("text"), 2, 5), " ").alias("probe"))
-    grams = d.select("doc_id", words("text").alias("w")).where("size(w) >= 5").select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, 5), " "))).alias("probe"))
-    met = grams.join(probe, "probe").select("doc_id", "item_id", "item").distinct()
+    # The words from the second to the last but one, five at most, are whole words wherever the text stands.
+    probe = b.select("item_id", F.col("text").alias("item"), words("text").alias("w")).where("size(w) >= 3").withColumn("k", F.expr("least(5, size(w) - 2)"))
+    probe = probe.select("item_id", "item", "k", F.xxhash64(F.array_join(F.expr("slice(w, 2, k)"), " ")).alias("probe"))
+    lengths = sorted(r.k for r in probe.select("k").distinct().collect())  # of 1 to 5
+    own = d.select("doc_id", words("text").alias("w"))
+    gram = lambda k: lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " "))
+    grams = [own.where(f"size(w) >= {k}").select("doc_id", F.explode(F.transform(F.expr(f"sequence(1, size(w) - {k - 1})"), gram(k))).alias("probe")).withColumn("k", F.lit(k)) for k in lengths or [5]]
+    met = reduce(DataFrame.unionByName, grams).join(probe, ["probe", "k"]).select("doc_id", "item_id", "item").distinct()
     return met.join(d.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("item"))).select("doc_id", "item_id").distinct()
 
 
@@ -181,11 +183,11 @@ def second_reader(spark, sf_dir):
     return c.select("q", F.when(F.expr("array_contains(candidates, answer)"), F.col("answer")).alias("accepted"))
 
 
-@query("""WITH m AS (SELECT conv_id, turn, CASE WHEN role IN ('assistant', 'user') THEN role ELSE 'user' END AS role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE trim(text) <> '') SELECT conv_id, turn, role, length(text) AS n_chars FROM m WHERE n <= 4""")
+@query("""WITH m AS (SELECT conv_id, turn, CASE WHEN role IN ('assistant', 'user') THEN role ELSE 'user' END AS role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE trim(text) <> '') SELECT conv_id, turn, role, length(text) AS n_chars FROM m WHERE n <= 20""")
 def conversation_hygiene(spark, sf_dir):
-    """The last four messages of each conversation; unknown roles are users, blank texts go."""
+    """The last twenty messages of each conversation; unknown roles are users, blank texts go."""
     m = table(spark, sf_dir, "conversations").where("trim(text) <> ''")
-    m = choose.top_k(m, ["conv_id"], 4, F.desc("turn"))
+    m = choose.top_k(m, ["conv_id"], 20, F.desc("turn"))
     return m.select("conv_id", "turn", F.when(F.col("role").isin("assistant", "user"), F.col("role")).otherwise("user").alias("role"), F.length("text").cast("bigint").alias("n_chars"))
 
 
