@@ -43,3 +43,6 @@ def test_memory_is_bounded(monkeypatch):
     texts = [f"word{i} other{i} " + "z" * 100 for i in range(50)]
     assert [c.decode(x).decode() for x in c.encode(texts)] == texts
     assert len(c.known) <= 3
+    c.known.pop(next(iter(c.known)))
+    c.encode([f"more{i}" for i in range(50)])  # a table that is nearly full does not overflow
+    assert len(c.known) <= 3

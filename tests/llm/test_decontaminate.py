@@ -1,3 +1,5 @@
+import random
+
 from plumbline.llm import decontaminate as D
 
 ITEMS = [
@@ -58,3 +60,32 @@ def test_short_items_of_many_slots(spark):
     bench = spark.createDataFrame([(1, "add 3 then 4 minus 5 gives")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "so add 6 then 8 minus 9 gives it")], "doc_id long, text string")
     assert [(r.doc_id, r.share) for r in D.leaks(docs, bench).collect()] == [(1, 1.0)]
+
+
+def test_items_of_every_length_at_every_place(spark):
+    """Every item copied word for word, and with other numbers, names and units, is found wherever it stands."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3))
+    items, rows, want, number = [], [], set(), 0
+    for n in [*range(D.LEAST_TOKENS, 20), 30, 45, 60]:
+        parts = [word() for _ in range(n)]
+        for i in range(2, n - 1, 5):
+            parts[i] = rng.choice(["{num}", "{name}", "{num} {unit}"]) if n >= 10 else parts[i]
+        fill = lambda k, parts=parts: " ".join(parts).replace("{num}", str(17 + k)).replace("{name}", ["Berlin", "Oslo"][k]).replace("{unit}", ["km", "miles"][k])
+        items.append((n, fill(0)))
+        for lead in range(6):
+            for k in range(2):
+                number += 1
+                rows.append((number, " ".join([word() for _ in range(lead)] + [fill(k)] + [word() for _ in range(3)])))
+                want.add((number, n))
+    for _ in range(30):
+        number += 1
+        rows.append((number, " ".join(word() for _ in range(40))))
+    got = D.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "what colour is the sky", "x"), (None, None, "y")], "doc_id long, text string, leaked string")
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert [tuple(r) for r in D.cleaned(docs, bench).collect()] == [(None, None, "y")]
