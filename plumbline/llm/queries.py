@@ -77,7 +77,35 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_rules, op3_substring_dedup, op4_byte_bpe, op5_near_duplicates, op6_html_text, op7_quotes, op8_pii, op9_suffix_lm, op10_quality_rules)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import collocations
+
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of one document in ten the words from `a` on are the first of them over and over, as the contract asks; the operator then judges every text."""
+    from plumbline.llm import periodic_runs
+    from plumbline.llm._shared import words_of
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    chosen = docs.withColumn("w", F.when(F.col("h") % 10 == 0, words_of(F.col("text"))))
+    n, g = F.size("w"), F.floor(F.col("h") / 10)
+    placed = chosen.withColumn("a", F.when(n > 0, (g % n).cast("int"))).withColumn("p", F.when(n > 0, (F.floor((n - F.col("a")) / (3 + g % 8)) + 1).cast("int")))
+    times = F.ceil((n - F.col("a")) / F.col("p")).cast("int")
+    again = F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), times)), F.lit(1), n - F.col("a")))
+    return periodic_runs.digest(periodic_runs.detect(placed.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))))
+
+
+def op13_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import quality_cnn
+
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)))
+    model = quality_cnn.fit(docs.where("NOT held_out"), _table(spark, sf_dir, "labels"))
+    return quality_cnn.score(docs, model, keep=["held_out"]).select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_rules, op3_substring_dedup, op4_byte_bpe, op5_near_duplicates, op6_html_text, op7_quotes, op8_pii, op9_suffix_lm, op10_quality_rules, op11_collocations, op12_periodic_runs, op13_quality_cnn)}
 
 ORACLES = {
     "op2_url_rules": r"""
