@@ -102,7 +102,7 @@ def op13_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)))
     model = quality_cnn.fit(docs.where("NOT held_out"), _table(spark, sf_dir, "labels"))
-    return quality_cnn.score(docs, model, keep=["held_out"]).select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return quality_cnn.score(docs, model, keep=("held_out",)).select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_rules, op3_substring_dedup, op4_byte_bpe, op5_near_duplicates, op6_html_text, op7_quotes, op8_pii, op9_suffix_lm, op10_quality_rules, op11_collocations, op12_periodic_runs, op13_quality_cnn)}
