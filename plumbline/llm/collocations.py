@@ -30,7 +30,7 @@ THRESHOLD, LONGEST, TOP = 10, 3, 2_000
 #: A longer phrase hides a part of it if it makes up this many hundredths of the part's occurrences.
 HIDES = 50
 #: Bits of the bitmap's places: 32 MB, whatever the input. Occurrences that a partition of hashes is meant for.
-BITS, MASS = 28, 1 << 24
+BITS, MASS = 28, 1 << 22
 #: Bytes of text that are counted at once.
 STRETCH = 8 << 20
 #: A stretch's texts stand one after the other with this byte, which no text has, between pieces.
@@ -113,7 +113,7 @@ def _packed(values: np.ndarray) -> bytes:
     return d.view(np.uint8).reshape(len(d), -1).T.tobytes()
 
 
-def _unpacked(blob: bytes, kind: type) -> np.ndarray:
+def _unpacked(blob: pa.Buffer, kind: type) -> np.ndarray:
     raw = np.frombuffer(blob, np.uint8).reshape(np.dtype(kind).itemsize, -1)
     return np.cumsum(np.ascontiguousarray(raw.T).view(kind).ravel(), dtype=kind)
 
@@ -165,19 +165,19 @@ def _summaries(batches: Iterator[pa.RecordBatch], parts: int, threshold: int, bi
         return pa.RecordBatch.from_pylist([{"part": part, "kept": len(held[0]), "bitmap": _bits(part, parts, held[0], bits)}], schema)
 
     for batch in batches:
-        for row in batch.to_pylist():
-            if row["part"] != part:
+        for own, later, more, hashes, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
+            if own != part:
                 if part is not None:
                     yield out()
-                part, mass, held, waiting, ahead = row["part"], 0, (held[0][:0], held[1][:0]), [], 0
-            if row["later"]:
-                sums = np.diff(_unpacked(row["counts"], np.int64), prepend=0)
-                waiting.append((_unpacked(row["hashes"], np.uint64), sums))
+                part, mass, held, waiting, ahead = own, 0, (held[0][:0], held[1][:0]), [], 0
+            if later:
+                sums = np.diff(_unpacked(counts.as_buffer(), np.int64), prepend=0)
+                waiting.append((_unpacked(hashes.as_buffer(), np.uint64), sums))
                 ahead += len(sums)
                 if ahead > mass // threshold + 1:
                     merge()
             else:
-                mass += row["mass"]
+                mass += more
     if part is not None:
         yield out()
 
