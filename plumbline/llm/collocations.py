@@ -96,15 +96,15 @@ def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[edge], np.add.reduceat(n[order], edge)
 
 
-def merged(h: np.ndarray, n: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of counts by hash; beyond `capacity` of them less what a Misra-Gries summary takes off."""
+def merged(h: np.ndarray, n: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sums of counts by hash; beyond `capacity` of them less what a Misra-Gries summary takes off, which is the third value."""
     if not len(h):
-        return h, n
+        return h, n, 0
     h, n = _summed(h, n)
-    if len(h) > capacity:
-        n = n - np.partition(n, len(n) - capacity - 1)[len(n) - capacity - 1]
-        h, n = h[n > 0], n[n > 0]
-    return h, n
+    if len(h) <= capacity:
+        return h, n, 0
+    off = int(np.partition(n, len(n) - capacity - 1)[len(n) - capacity - 1])
+    return h[n > off], n[n > off] - off, off
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -153,23 +153,24 @@ def _bits(part: int, parts: int, hashes: np.ndarray, bits: int) -> bytes:
 def _summaries(batches: Iterator[pa.RecordBatch], parts: int, threshold: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Rows by partition, those with masses first: one summary at a time, never more than twice its capacity held."""
     schema = pa.schema([("part", pa.int32()), ("kept", pa.int64()), ("bitmap", pa.binary())])
-    part, mass, held, waiting, ahead = None, 0, (np.empty(0, np.uint64), np.empty(0, np.int64)), [], 0
+    part, mass, held, waiting, ahead, off = None, 0, (np.empty(0, np.uint64), np.empty(0, np.int64)), [], 0, 0
 
     def merge():
-        nonlocal held, waiting, ahead
-        held = merged(np.concatenate([held[0], *[x[0] for x in waiting]]), np.concatenate([held[1], *[x[1] for x in waiting]]), mass // threshold + 1)
-        waiting, ahead = [], 0
+        nonlocal held, waiting, ahead, off
+        *held, more = merged(np.concatenate([held[0], *[x[0] for x in waiting]]), np.concatenate([held[1], *[x[1] for x in waiting]]), mass // threshold + 1)
+        waiting, ahead, off = [], 0, off + more
 
     def out():
         merge()
-        return pa.RecordBatch.from_pylist([{"part": part, "kept": len(held[0]), "bitmap": _bits(part, parts, held[0], bits)}], schema)
+        likely = held[0][held[1] + off >= threshold]  # what was taken off is the most that a count can lack
+        return pa.RecordBatch.from_pylist([{"part": part, "kept": len(likely), "bitmap": _bits(part, parts, likely, bits)}], schema)
 
     for batch in batches:
         for own, later, more, hashes, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
             if own != part:
                 if part is not None:
                     yield out()
-                part, mass, held, waiting, ahead = own, 0, (held[0][:0], held[1][:0]), [], 0
+                part, mass, held, waiting, ahead, off = own, 0, (held[0][:0], held[1][:0]), [], 0, 0
             if later:
                 sums = np.diff(_unpacked(counts.as_buffer(), np.int64), prepend=0)
                 waiting.append((_unpacked(hashes.as_buffer(), np.uint64), sums))

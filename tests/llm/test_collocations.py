@@ -67,13 +67,15 @@ def test_every_frequent_key_survives_any_order_of_merging():
         rng.shuffle(keys)
         threshold = int(rng.integers(3, 60))
         capacity = len(keys) // threshold + 1
-        parts = [C.merged(p, np.ones(len(p), np.int64), capacity) for p in np.array_split(keys, int(rng.integers(2, 40)))]
+        parts = [list(C.merged(p, np.ones(len(p), np.int64), capacity)) for p in np.array_split(keys, int(rng.integers(2, 40)))]
         while len(parts) > 1:
             i = int(rng.integers(len(parts) - 1))
             a, b = parts.pop(i), parts.pop(i)
-            parts.append(C.merged(np.append(a[0], b[0]), np.append(a[1], b[1]), capacity))
+            *new, off = C.merged(np.append(a[0], b[0]), np.append(a[1], b[1]), capacity)
+            parts.append([*new, off + a[2] + b[2]])
         values, times = np.unique(keys, return_counts=True)
-        assert set(values[times >= threshold].tolist()) <= set(parts[0][0].tolist()) and len(parts[0][0]) <= capacity
+        h, n, off = parts[0]
+        assert set(values[times >= threshold].tolist()) <= set(h[n + off >= threshold].tolist()) and len(h) <= capacity
 
 
 def test_products_beyond_64_bits(spark):
