@@ -54,7 +54,7 @@ def outlines(segments: DataFrame, by: list[str], cell: float) -> DataFrame:
     family's pen and the run's length by ELONGATION; of several the one with the least id. Both sides are found, each from its own place.
     """
     s = _boxed(segments).withColumn("length", F.hypot(F.col("l2") - F.col("l0"), F.col("l3") - F.col("l1"))).where("length > 0")
-    s = s.withColumn("pen", F.max("width").over(W.partitionBy(*by))).where("pen > 0").withColumn("reach", F.least(F.col("length") / ELONGATION, PENS * F.col("pen")))
+    s = s.withColumn("_pen", F.max("width").over(W.partitionBy(*by))).where("_pen > 0").withColumn("reach", F.least(F.col("length") / ELONGATION, PENS * F.col("_pen")))
     own = s.where((F.col("state") == "CONFIRMED") & (F.col("length") >= ELONGATION / 2))
     wide = own.withColumns({"x0": F.col("x0") - F.col("reach"), "y0": F.col("y0") - F.col("reach"), "x1": F.col("x1") + F.col("reach"), "y1": F.col("y1") + F.col("reach")})
     p = spatial.box_join(wide, s, cell, by=tuple(by)).where((F.col("id") != F.col("r_id")) & (F.col("r_length") >= COVER * F.col("length")))

@@ -34,5 +34,9 @@ def test_equals_sql(spark, duck, name):
     assert key(r.asDict(recursive=True) for r in df.collect()) == key(dict(zip(want.columns, r)) for r in want.fetchall())
 
 
-def test_every_query_has_sql():
-    assert set(registry.queries()) == set(registry.oracles())
+#: Fixpoints and walks that SQL does not say: their operators are held against plain versions in the other tests.
+WITHOUT_SQL = {"propagated_names", "pipe_frontiers", "paired_runs", "discovered_leaders", "leader_claims", "riser_marks", "read_designations"}
+
+
+def test_every_other_query_has_sql():
+    assert set(registry.queries()) - set(registry.oracles()) == WITHOUT_SQL
