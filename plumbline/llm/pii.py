@@ -4,8 +4,9 @@ What the fixed patterns find are seeds, and so is the value after a word that na
 of digits with spaces between are one. The two words before an instance, the last one alone if it is a label, and its
 shape with the word before or after it are its lexical patterns. Patterns of enough different seeds are candidates; only
 words that have one of them enter the graph. Scores go back and forth over it: a pattern is as good as the share of its
-instances that are known, an instance as good as its patterns together. Patterns that end with a high score extract
-further instances of their kind, and these are the next round's seeds, until a round finds nothing new.
+instances that are known, an instance as good as its patterns together. Patterns with a high score extract
+further instances of their kind, and these are known in the next round, until a round finds nothing new. Words after the name of
+a secret teach as well, but are found only where a learnt pattern has them.
 DataFrame functions only; a text is matched where it is read, and only what was matched is shuffled.
 """
 
@@ -33,8 +34,6 @@ SECRET_VALUE = r"^(?=[^ ]*[0-9])[A-Za-z0-9_+/=.~-]{12,}$"
 #: What every text with a match of the fixed patterns holds, and what every text with a secret after its name does; both are quick to look for.
 MAY_MATCH = r"@|[0-9]\.[0-9]+\.[0-9]|\+[0-9]|[0-9](?:[\x20-]?[0-9]){15}"
 MAY_NAME_SECRET = r"(?i)token|secret|passw|passp|credential|api.?key|access.?key|private.?key"
-#: Scoring rounds over a graph, and how often new instances may bring new patterns; each of these reads the texts again.
-ROUNDS, EXPANSIONS = 3, 3
 #: The score and the number of different known instances that a pattern needs to extract; the score that an instance needs.
 LEAST_SCORE, LEAST_SEEDS, LEAST_INSTANCE = 0.8, 4, 0.8
 #: Stands for a space between groups of digits, so that they are one word; one character, so places stay.
@@ -117,7 +116,7 @@ def words(docs: DataFrame, seeds_only: bool = False) -> DataFrame:
     text = F.col("text")
     d = _arrays(docs.where(text.rlike(MAY_MATCH) | text.rlike(MAY_NAME_SECRET)) if seeds_only else docs)
     before = lambda i: F.concat_ws(" ", F.get("c", i - 2), F.get("c", i - 1))
-    places = F.filter(F.sequence(F.lit(0), F.size("b") - 1), lambda i: F.length(F.get("b", i)) >= 3)
+    places = F.filter(F.sequence(F.lit(0), F.size("b") - 1), lambda i: F.length(F.get("b", i)) >= 1)
     if seeds_only:
         places = F.filter(places, lambda i: _seed(F.get("b", i), before(i)).isNotNull())
 
@@ -154,53 +153,71 @@ def _matching(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return _that_hold(docs, hashes, patterns.select(F.col("p").alias("x")))
 
 
-def _scored(edges: DataFrame) -> DataFrame:
-    """(v, kind, score) of instances that are no seeds; edges: distinct (v, p, seed, known, known_score)."""
-    seeds = edges.where("seed IS NOT NULL").select("v", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
-    all_of = stored(edges.groupBy("p").agg(F.countDistinct("v").alias("all")), "pattern-sizes")
-    new = None
-    for _ in range(ROUNDS):
-        known = seeds if new is None else seeds.unionByName(new)
-        hits = edges.select("v", "p").join(known, "v")
-        by_kind = hits.groupBy("p", "kind").agg(F.sum("score").alias("s"), F.count("*").alias("k"))
-        best = by_kind.groupBy("p").agg(F.max(F.struct("s", "k", "kind")).alias("b")).join(all_of, "p").select("p", F.col("b.kind").alias("kind"), (F.col("b.s") / F.col("all")).alias("score"), F.col("b.k").alias("seeds"))
-        good = stored(best.where((F.col("score") >= LEAST_SCORE) & (F.col("seeds") >= LEAST_SEEDS)), "patterns")
-        # An instance is missed only if all its good patterns are wrong.
-        found = edges.where("seed IS NULL").select("v", "p").join(good, "p").groupBy("v", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-6)))))).alias("score"))
-        found = found.groupBy("v").agg(F.max(F.struct("score", "kind")).alias("b")).select("v", "b.kind", "b.score").where(F.col("score") >= LEAST_INSTANCE)
-        new = stored(found.join(seeds.select("v"), "v", "left_anti"), "found")
-    return new
+def _good(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """(p, kind, score) of the patterns that extract: score is the share of a pattern's instances that are known as one kind, each by its own score, and enough of them are."""
+    sizes = edges.groupBy("p").agg(F.count("*").alias("all"))
+    by_kind = edges.join(known, "v").groupBy("p", "kind").agg(F.sum("score").alias("s"), F.count("*").alias("k"))
+    best = by_kind.groupBy("p").agg(F.max(F.struct("s", "k", "kind")).alias("b")).join(sizes, "p").select("p", F.col("b.kind").alias("kind"), (F.col("b.s") / F.col("all")).alias("score"), F.col("b.k").alias("seeds"))
+    return best.where((F.col("score") >= LEAST_SCORE) & (F.col("seeds") >= LEAST_SEEDS)).drop("seeds")
+
+
+def _learnt(edges: DataFrame, seeds: DataFrame, before: DataFrame | None) -> DataFrame:
+    """(v, kind, score) of the instances that are no seeds, by the patterns of all edges (v, p), from `before` in rounds until no score changes.
+
+    An instance is as good as its good patterns of a kind together: it is missed only if all of them are wrong. Each round scores all
+    patterns and all instances anew, in whole hundredths. Scores only rise with what is known, so rounds end, and where they end does not
+    hang on which patterns were read first.
+    """
+    sign = lambda d: tuple(d.agg(F.count("*"), F.sum(F.round(F.col("score") * 100).cast("long"))).first())
+    found, was = before, None if before is None else sign(before)
+    while True:
+        good = stored(_good(edges, seeds if found is None else seeds.unionByName(found)), "patterns")
+        open_edges = edges.join(seeds.select("v"), "v", "left_anti")
+        each = open_edges.join(good, "p").groupBy("v", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-6)))))).alias("score"))
+        best = each.groupBy("v").agg(F.max(F.struct(F.floor(F.col("score") * 100 + 1e-6).alias("s"), "kind")).alias("b"))
+        found = stored(best.select("v", "b.kind", (F.col("b.s") / 100).alias("score")).where(F.col("score") >= LEAST_INSTANCE), "found")
+        now = sign(found)
+        if now == was or not now[0]:
+            return found
+        was = now
 
 
 def discovered(docs: DataFrame) -> DataFrame:
-    """(doc_id, _t, kind, start, end) of instances that no fixed pattern found, and of the secrets that were seeds.
+    """(doc_id, _t, kind, start, end) of the words that learnt patterns extract and that are no seeds of a fixed pattern's kind.
 
-    Each round reads the texts once for the words that have a candidate pattern, and once for where else the new instances stand.
+    Seeds of the kind `secret` only teach: one is a span if a good pattern of that kind has it. The rounds go on until there is
+    no new candidate pattern and no new instance; candidates that were not good enough are scored again with all that is known. Each round that
+    has new candidates reads the texts once for the words that have one, and once for where else new instances stand.
     """
     occurrences = stored(words(docs, True).where("seed IS NOT NULL"), "seeds")
-    spans = occurrences.where(F.col("seed") == SECRET).select("doc_id", "_t", "k", F.col("seed").alias("kind"))
-    evidence = occurrences.select("v", "seed", F.explode("patterns").alias("p")).distinct()
-    tried: DataFrame | None = None
-    found: DataFrame | None = None
-    for _ in range(EXPANSIONS):
-        # Each pattern with the different known instances of one kind that have it; summed before it is shuffled.
-        candidates = evidence.groupBy("p", "seed").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SEEDS).select("p").distinct()
+    known = stored(occurrences.groupBy("v").agg(F.max("seed").alias("kind")).withColumn("score", F.lit(1.0)), "known")
+    evidence = occurrences.select("v", F.col("seed").alias("kind"), F.explode("patterns").alias("p")).distinct()
+    tried = edges = spans = found = located_ones = None
+    while True:
+        # Patterns with enough different known instances of one kind; summed before they are shuffled.
+        candidates = evidence.groupBy("p", "kind").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SEEDS).select("p").distinct()
         candidates = stored(candidates if tried is None else candidates.join(tried, "p", "left_anti"), "candidates")
         if candidates.isEmpty():
             break
         tried = candidates if tried is None else tried.unionByName(candidates)
-        edges = words(_matching(docs, candidates)).select("v", "seed", F.explode(F.array_compact("patterns")).alias("p")).join(small(candidates), "p").groupBy("v", "p").agg(F.max("seed").alias("seed"))
-        edges = stored(edges, "edges")
-        if found is not None:  # instances that are known by now count as seeds
-            edges = stored(edges.join(found.select("v", "kind"), "v", "left").select("v", "p", F.coalesce("seed", "kind").alias("seed")), "edges")
-        new = _scored(edges)
+        more = stored(words(_matching(docs, candidates)).select("v", F.explode(F.array_compact("patterns")).alias("p")).join(small(candidates), "p").select("v", "p").distinct(), "edges")
+        edges = more if edges is None else edges.unionByName(more)
+        found = _learnt(edges, known, found)
+        new = found if located_ones is None else stored(found.join(located_ones, "v", "left_anti"), "new")
         if new.isEmpty():
             break
+        located_ones = new.select("v") if located_ones is None else located_ones.unionByName(new.select("v"))
         where = stored(words(_having(docs, new)).where("seed IS NULL").join(small(new.select("v", "kind")), "v").select("doc_id", "_t", "k", "v", "kind", "patterns"), "where")
-        spans = spans.unionByName(where.select("doc_id", "_t", "k", "kind"))
-        evidence = evidence.unionByName(where.select("v", F.col("kind").alias("seed"), F.explode(F.array_compact("patterns")).alias("p")).distinct())
-        found = new.select("v", "kind") if found is None else found.unionByName(new.select("v", "kind"))
-    return _placed(docs, stored(spans.distinct(), "found-words"))
+        spans = where.select("doc_id", "_t", "k", "kind") if spans is None else spans.unionByName(where.select("doc_id", "_t", "k", "kind"))
+        evidence = evidence.unionByName(where.select("v", "kind", F.explode(F.array_compact("patterns")).alias("p")).distinct()).distinct()
+    secrets = occurrences.where(F.col("seed") == SECRET)
+    if edges is None:
+        secrets = secrets.limit(0)
+    else:
+        taught = edges.join(stored(_good(edges, known if found is None else known.unionByName(found)), "good-patterns").where(F.col("kind") == SECRET), "p").select("v").distinct()
+        secrets = secrets.join(stored(taught, "taught"), "v", "left_semi")
+    secrets = secrets.select("doc_id", "_t", "k", F.col("seed").alias("kind"))
+    return _placed(docs, stored((secrets if spans is None else spans.unionByName(secrets)).distinct(), "found-words"))
 
 
 def _placed(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -82,6 +82,97 @@ def test_planted_identifiers_are_found_and_plain_words_are_not(spark):
     assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.9 * len(got)
 
 
+SHAPES = [("[a-z]+", "a"), ("[A-Z]+", "A"), ("[0-9]+", "9")]
+
+
+def plain_bootstrap(texts):
+    """(doc, kind, start, end) of added spans, with sets and loops; ASCII texts with single spaces."""
+    words = {}  # (doc, k) -> (bare, start, patterns)
+    for doc, text in texts:
+        glued = re.sub(r"(?<=[0-9)]) (?=\(?[0-9])", "\ue000", text)
+        at, own = 0, []
+        for w in glued.split(" "):
+            lead = len(re.match(r"^[^A-Za-z0-9+]*", w).group())
+            bare = re.sub(r"^[^A-Za-z0-9+]+", "", w)
+            bare = re.sub(r"(?<=[A-Za-z0-9+])[^A-Za-z0-9]+$", "", bare)
+            shape = bare
+            for pat, x in SHAPES:
+                shape = re.sub(pat, x, shape)
+            own.append((bare, at + lead, re.sub("[0-9]+", "9", w).lower(), shape))
+            at += len(w) + 1
+        for k, (bare, start, _, shape) in enumerate(own):
+            if not bare:
+                continue
+            p = set()
+            if k >= 2:
+                p.add(("two", own[k - 2][2], own[k - 1][2]))
+            if k >= 1:
+                p.add(("before", own[k - 1][2], shape))
+                if own[k - 1][2].endswith((":", "=")):
+                    p.add(("label", own[k - 1][2]))
+            if k + 1 < len(own):
+                p.add(("after", own[k + 1][2], shape))
+            before = " ".join(x[2] for x in own[max(0, k - 2) : k])
+            value = bare.replace("\ue000", " ")
+            kind = next((n for n, q in PLAIN.items() if re.fullmatch(q, value) and good(n, value)), None)
+            if kind is None and re.search("[0-9@]", bare) and re.match(pii.SECRET_VALUE, bare) and re.search(pii.NAMES_SECRET, before):
+                kind = "secret"
+            words[doc, k] = (bare, start, p, kind)
+    known = {b: (k, 1.0) for b, _, _, k in words.values() if k}
+    seeds = dict(known)
+    graph = {}
+    for b, _, p, _ in words.values():
+        for x in p:
+            graph.setdefault(x, set()).add(b)
+
+    def patterns():
+        out = {}
+        for p, members in graph.items():
+            sums = {}
+            for b in members & known.keys():
+                k, sc = known[b]
+                sums.setdefault(k, []).append(sc)
+            if sums:
+                s, n, k = max((sum(v), len(v), k) for k, v in sums.items())
+                if s / len(members) >= pii.LEAST_SCORE and n >= pii.LEAST_SEEDS:
+                    out[p] = (k, s / len(members))
+        return out
+
+    while True:
+        miss = {}
+        for p, (k, sc) in patterns().items():
+            for b in graph[p] - seeds.keys():
+                miss[b, k] = miss.get((b, k), 1.0) * max(1 - sc, 1e-6)
+        new = {}
+        for (b, k), m in miss.items():
+            new[b] = max(new.get(b, (0, "")), (int((1 - m) * 100 + 1e-6), k))
+        new = seeds | {b: (k, sc / 100) for b, (sc, k) in new.items() if sc / 100 >= pii.LEAST_INSTANCE}
+        if new == known:
+            break
+        known = new
+    fine = {p for p, (k, _) in patterns().items() if k == "secret"}
+    return {(doc, known[b][0], start, start + len(b)) for (doc, _), (b, start, p, kind) in words.items() if b in known and (b not in seeds or kind == "secret" and any(b in graph[x] for x in fine))}
+
+
+def test_bootstrap_equals_a_plain_one_over_many_stages(spark):
+    """Each stage's values stand in the next stage's context, so that every round teaches one more; noise must stay out."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    mails = [f"{word()}{i}@mail.example.com" for i in range(30)]
+    stages = [mails[:3]] + [[f"{word()}.{s}{i}" for i in range(3)] for s in range(1, 8)]
+    rows = [f"{word()} {word()} {m} {word()}" for m in mails]
+    for s in range(1, 8):  # seventeen known ones, three that the stage before teaches, four new ones: good only when those three are known
+        rows += [f"{word()} {word()} stage{'abcdefgh'[s]} has: {v} {word()}" for v in rng.sample(mails[3:], 17) + stages[s - 1] + stages[s]]
+        rows += [f"{word()} {word()} stage{'abcdefgh'[s]} has: {word()}-{s} {word()}"]
+    rows += [f"{word()} seen in: {word()}{i} {word()}" for i in range(40)] + [f"{word()} token = {'%040x' % rng.getrandbits(160)} {word()}" for _ in range(6)]
+    rows += [f"{word()} token = short-one {word()}", f"{word()} passphrase: {'%040x' % rng.getrandbits(160)} {word()}", f"{word()} stagea has: 12 (34) 56 {word()}", f"{word()} a1 stageb has: x {word()}"]
+    texts = list(enumerate(rng.sample(rows, len(rows))))
+    want = plain_bootstrap(texts)
+    got = {(r.doc_id, s.kind, s.start, s.end) for r in pii.detect(spark.createDataFrame(texts, "doc_id long, text string")).collect() for s in r.spans if not s.base}
+    assert got == want
+    assert {v for s in stages[1:] for v in s} <= {texts[d][1][a:b] for d, _, a, b in got} and {k for _, k, _, _ in got} == {"email", "secret"}
+
+
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "to a@b.co now", "x", 1, 2)], "doc_id long, text string, cuts string, cut_id int, _t int")
     assert [tuple(r) for r in pii.redacted(df).collect()] == [(1, "to <email> now", "x", 1, 2)]
