@@ -28,7 +28,7 @@ from plumbline.llm._shared import join_by_key, rows_out, stored
 WINDOW, PREFIX, LONGER = 50, 8, 25
 PLACES = WINDOW - PREFIX + 1
 #: Distinct contexts up to which a group is built in memory; rows that a batch of groups gathers; words looked at in one piece.
-GROUP, BATCH, PIECE = 20_000, 30_000, 1 << 20
+GROUP, BATCH, PIECE = 10_000, 10_000, 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 HEAD = pa.schema([("doc_id", pa.int64()), ("content", pa.binary()), ("n_words", pa.int64()), ("sha", pa.string()), ("anchors", pa.list_(pa.int64()))])
 INSTANCES = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("content", pa.binary()), ("at", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("before", pa.binary()), ("after", pa.binary())])
