@@ -68,3 +68,22 @@ def propose_erase(spark: SparkSession, sf_dir: str, designation: str | None = No
     q = runs(spark, sf_dir).where(F.upper("designation") == (designation or "").upper()).agg(F.coalesce(F.sum("metres"), F.lit(0)).alias("there"))
     want = F.lit(metres or 0)
     return q.select(F.lit("erase").alias("kind"), F.lit(designation).alias("designation"), want.alias("metres"), ((want > 0) & (want <= F.col("there"))).alias("accepted"), F.when(want <= 0, "nothing to erase").when(want > F.col("there"), "less than that is there").alias("reason"))
+
+
+@TOOLS.tool(by=str)
+def quantities(spark: SparkSession, sf_dir: str, by: str | None = None) -> DataFrame:
+    """Metres and runs by designation, system or dimension."""
+    from plumbline.plans.takeoff import runs
+
+    key = {"system": "system", "dn": "dn"}.get(by or "", "designation")
+    return runs(spark, sf_dir).groupBy(F.col(key).alias("key")).agg(F.sum("metres").alias("metres"), F.count("*").alias("runs"))
+
+
+@TOOLS.tool(ids=list)
+def measure(spark: SparkSession, sf_dir: str, ids: list | None = None) -> DataFrame:
+    """Metres and sheets of each pipe in a list; one that is not there is a row that says so."""
+    from plumbline.plans.takeoff import runs
+
+    asked = spark.createDataFrame([(int(i),) for i in dict.fromkeys(ids or [])], "id bigint")
+    m = runs(spark, sf_dir).join(F.broadcast(asked), F.col("part") == F.col("id"), "left_semi").groupBy(F.col("part").alias("id")).agg(F.sum("metres").alias("metres"), F.count_distinct("sheet").alias("sheets"))
+    return asked.join(m, "id", "left").select("id", "metres", F.coalesce("sheets", F.lit(0)).alias("sheets"), F.when(F.col("metres").isNull(), "there is no such pipe").otherwise("found").alias("state"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.plans import base, drawing, filters, governance, graphs, joins, ordered, product, scalars, sheets, takeoff  # noqa: F401
+from plumbline.plans import base, drawing, exchange, filters, governance, graphs, joins, ordered, product, scalars, sheets, takeoff  # noqa: F401
 
 FLAGSHIP = "quantity_by_designation"
 

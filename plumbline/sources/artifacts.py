@@ -43,3 +43,19 @@ def write_csv(df: DataFrame, path: str, decimals: int = 2) -> None:
 
 def union_of(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def write_document(frames: dict[str, DataFrame], path: str) -> DataFrame:
+    """All artifacts of a document under one folder, one after the other, then their manifest: (artifact, file, bytes, sha256) of every file that was written.
+
+    The hashes are taken from the files as a reader finds them, so the manifest says what is there and not what was meant. It is written last;
+    a folder without one is not whole.
+    """
+    spark = next(iter(frames.values())).sparkSession
+    for name, df in frames.items():
+        df.write.json(f"{path}/{name}")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load([f"{path}/{n}" for n in frames])
+    at = F.element_at(F.split("path", "/"), -1)
+    manifest = files.select(F.element_at(F.split("path", "/"), -2).alias("artifact"), at.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    manifest.coalesce(1).write.json(f"{path}/manifest")
+    return spark.read.schema(manifest.schema).json(f"{path}/manifest")
