@@ -122,3 +122,58 @@ def tool_measure(spark, sf_dir):
 def tool_proposal(spark, sf_dir):
     """The tool `propose_erase`: a proposal, checked against what is there, that changes nothing."""
     return TOOLS.call(spark, sf_dir, "propose_erase", designation="Brand#2", metres=7)
+
+
+@query("""WITH k AS (SELECT p_partkey % 20 AS ex, p_partkey // 20 AS part, p_size AS want FROM part WHERE p_partkey < 100), a AS (SELECT DISTINCT o_custkey % 20 AS ex, o_custkey AS attempt FROM orders),
+v AS (SELECT l_orderkey, l_linenumber FROM lineitem), g AS (SELECT o_custkey % 20 AS ex, o_custkey AS attempt, o_orderkey % 5 AS part, max(o_orderkey % 50 + 1) AS value FROM orders GROUP BY ALL),
+j AS (SELECT a.ex, a.attempt, k.part, coalesce(abs(value - want) / want::DOUBLE <= 0.5, false) AS ok FROM a JOIN k ON k.ex = a.ex LEFT JOIN g ON g.ex = a.ex AND g.attempt = a.attempt AND g.part = k.part)
+SELECT ex, attempt, round(count(*) FILTER (ok) / count(*), 6) AS score, bool_and(ok) AS passed, coalesce(list_sort(list(part) FILTER (NOT ok)), []) AS wrong FROM j GROUP BY ALL""")
+def graded_steps(spark, sf_dir):
+    """Calculations of five steps, each graded for itself within half of what is wanted."""
+    from plumbline.operators import grading
+
+    k, p = F.col("p_partkey"), table(spark, sf_dir, "part")
+    key = p.where("p_partkey < 100").select((k % 20).alias("ex"), F.expr("p_partkey div 20").alias("part"), F.col("p_size").cast("string").alias("value"), F.lit(0.5).alias("tolerance"))
+    o = table(spark, sf_dir, "orders")
+    given = o.groupBy((F.col("o_custkey") % 20).alias("ex"), F.col("o_custkey").alias("attempt"), (F.col("o_orderkey") % 5).alias("part")).agg(F.max(F.col("o_orderkey") % 50 + 1).cast("string").alias("value"))
+    return grading.parts(given, key, ["ex"], numeric=True).withColumn("score", F.round("score", 6))
+
+
+@query("""WITH k AS (SELECT p_partkey % 20 AS ex, p_partkey // 20 AS place, p_size % 5 AS item FROM part WHERE p_partkey < 100), g AS (SELECT o_custkey % 20 AS ex, o_custkey AS attempt, o_orderkey AS place, o_orderkey % 5 AS item FROM orders),
+kw AS (SELECT *, lead(item) OVER w AS nxt, row_number() OVER w AS n FROM k WINDOW w AS (PARTITION BY ex ORDER BY place)), gw AS (SELECT *, lead(item) OVER w AS nxt, row_number() OVER w AS n FROM g WINDOW w AS (PARTITION BY ex, attempt ORDER BY place)), t AS (SELECT DISTINCT ex, attempt FROM g),
+s AS (SELECT t.ex, t.attempt, count(f.item) / count(*) AS share FROM t JOIN (SELECT DISTINCT ex, item, nxt FROM kw WHERE nxt IS NOT NULL) p ON p.ex = t.ex LEFT JOIN (SELECT DISTINCT ex, attempt, item, nxt FROM gw WHERE nxt IS NOT NULL) f ON f.ex = t.ex AND f.attempt = t.attempt AND f.item = p.item AND f.nxt = p.nxt GROUP BY ALL),
+q AS (SELECT ex, attempt, string_agg(item::VARCHAR, ',' ORDER BY place) AS own FROM g GROUP BY ALL), z AS (SELECT ex, string_agg(item::VARCHAR, ',' ORDER BY place) AS want FROM k GROUP BY ALL)
+SELECT t.ex, t.attempt, round(coalesce(share, 1.0), 6) AS score, own = want AS passed FROM t LEFT JOIN s ON s.ex = t.ex AND s.attempt = t.attempt JOIN q ON q.ex = t.ex AND q.attempt = t.attempt JOIN z ON z.ex = t.ex""")
+def graded_orders(spark, sf_dir):
+    """Sequences graded by the neighbours that they have in common with the key."""
+    from plumbline.operators import grading
+
+    k = F.col("p_partkey")
+    key = table(spark, sf_dir, "part").where("p_partkey < 100").select((k % 20).alias("ex"), F.expr("p_partkey div 20").alias("place"), (F.col("p_size") % 5).cast("bigint").alias("item"))
+    given = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("ex"), F.col("o_custkey").alias("attempt"), F.col("o_orderkey").alias("place"), (F.col("o_orderkey") % 5).alias("item"))
+    return grading.orders(given, key, ["ex"]).withColumn("score", F.round("score", 6))
+
+
+@query("""WITH k AS (SELECT DISTINCT p_partkey % 20 AS ex, p_size % 9 AS item FROM part WHERE p_partkey < 100), g AS (SELECT DISTINCT o_custkey % 20 AS ex, o_custkey AS attempt, o_orderkey % 9 AS item FROM orders), t AS (SELECT DISTINCT ex, attempt FROM g),
+w AS (SELECT t.ex, t.attempt, k.item FROM t JOIN k ON k.ex = t.ex), j AS (SELECT coalesce(w.ex, g.ex) AS ex, coalesce(w.attempt, g.attempt) AS attempt, w.item AS want, g.item AS got FROM w FULL JOIN g ON g.ex = w.ex AND g.attempt = w.attempt AND g.item = w.item)
+SELECT ex, attempt, round(count(*) FILTER (want = got) / count(*), 6) AS score, count(*) FILTER (want = got) >= 0.5 * count(*) AS passed, count(*) FILTER (got IS NULL) AS missed, count(*) FILTER (want IS NULL) AS extra FROM j GROUP BY ALL""")
+def graded_choices(spark, sf_dir):
+    """Sets of marks graded by what they share with the key, passed from half."""
+    from plumbline.operators import grading
+
+    key = table(spark, sf_dir, "part").where("p_partkey < 100").select((F.col("p_partkey") % 20).alias("ex"), (F.col("p_size") % 9).cast("bigint").alias("item"))
+    given = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("ex"), F.col("o_custkey").alias("attempt"), (F.col("o_orderkey") % 9).alias("item"))
+    return grading.sets(given, key, ["ex"], 0.5).withColumn("score", F.round("score", 6))
+
+
+@query("""WITH r AS (SELECT o_custkey % 20 AS ex, o_custkey AS attempt, o_orderkey % 2 AS run, o_orderkey AS place, (o_orderkey % 40) * 3 AS x, (o_orderkey % 30) * 4 AS y FROM orders), l AS (SELECT *, sqrt(((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2)::DOUBLE) AS leg FROM r WINDOW w AS (PARTITION BY ex, attempt, run ORDER BY place)),
+d AS (SELECT ex, attempt, sum(coalesce(leg, 0)) * 0.5 AS metres FROM l GROUP BY ALL), k AS (SELECT DISTINCT p_partkey % 20 AS ex, 100.0::DOUBLE + 20 * (p_partkey % 20) AS want FROM part WHERE p_partkey < 20)
+SELECT d.ex, attempt, round(metres, 6) AS metres, round(CASE WHEN abs(metres - want) / want <= 0.1 THEN 1.0 ELSE greatest(0.0, 1 - abs(metres - want) / want / 0.5) END, 6)::DOUBLE AS score, abs(metres - want) / want <= 0.1 AS passed FROM d JOIN k USING (ex)""")
+def graded_lengths(spark, sf_dir):
+    """Drawn runs summed in the scale and graded by how far off they are."""
+    from plumbline.operators import grading
+
+    o = F.col("o_orderkey")
+    runs = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("ex"), F.col("o_custkey").alias("attempt"), (o % 2).alias("run"), o.alias("place"), (o % 40 * 3).alias("x"), (o % 30 * 4).alias("y"))
+    key = table(spark, sf_dir, "part").where("p_partkey < 20").select((F.col("p_partkey") % 20).alias("ex"), (100.0 + 20 * (F.col("p_partkey") % 20)).alias("metres"), F.lit(0.5).alias("m_per_unit"), F.lit(0.1).alias("tolerance"))
+    return grading.lengths(runs, key, ["ex"])
