@@ -66,3 +66,41 @@ def test_personal_data_and_tokens(steps):
     c = byte_bpe.codec(public_tokenizers.path(C.VOCABULARY), public_tokenizers.PATTERN)
     for i, r in steps[5].items():
         assert c.decode(r.ids).decode() == steps[4][i].text and len(np.frombuffer(r.ids, "<u4")) == r.n_tokens
+
+
+def odd_rows():
+    """(doc_id, text) with nulls, empty and long texts, repeated rows, ids that two texts share; every text that is one has no repeats."""
+    words = lambda k, n=60: " ".join(f"w{(k * 7919 + i * 31) % 99991}" for i in range(n))
+    return [
+        (1, None), (2, ""), (3, " \n\t "), (4, words(1)), (4, words(2)), (5, words(3)), (5, words(3)), (6, words(3)), (None, words(4)), (None, None),
+        (7, words(5) + " mail a@b.co now"), (8, words(6, 30_000)), (9, words(1)), (10, "one two"),
+    ]
+
+
+def edge_docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), True, 5, "x", 1.5) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, kept boolean, n_words int, spans string, h double")
+
+
+def test_stages_with_odd_rows(spark):
+    kept = {"quality rules": 0, "near-duplicates": 0, "benchmark decontamination": 0, "personal data": 0}
+    docs = edge_docs(spark, odd_rows())
+    for name, stage in C.STAGES:
+        out = stage(spark, docs, DIR)
+        assert out.columns == (docs.columns if name in kept else ["doc_id", "n_tokens", "ids"]), name
+        got = sorted(((r.doc_id, getattr(r, "text", None)) for r in out.collect()), key=repr)
+        rows = sorted(odd_rows(), key=repr)
+        if name == "quality rules":
+            assert got == [r for r in rows if len((r[1] or "").split()) >= 10]
+        elif name == "near-duplicates":  # rows that are repeated whole stay once; 6 is a copy of 5, 9 of one text of 4
+            assert got == sorted(set(r for r in odd_rows() if r[0] not in (6, 9)), key=repr)
+        elif name == "benchmark decontamination":
+            assert got == rows
+        elif name == "personal data":
+            assert got == sorted(((i, t.replace("a@b.co", "<email>") if t else t) for i, t in odd_rows()), key=repr)
+        else:
+            assert [i for i, _ in got] == [i for i, _ in sorted(((i, None) for i, _ in odd_rows()), key=repr)]
+
+
+def test_stages_with_an_empty_table(spark):
+    for _, stage in C.STAGES:
+        assert stage(spark, edge_docs(spark, [(1, "x")]).limit(0), DIR).count() == 0
