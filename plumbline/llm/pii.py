@@ -112,7 +112,7 @@ TWO, LABEL, BEFORE, AFTER = (lambda *h, k=k: F.xxhash64(F.lit(k), *h) for k in r
 
 
 def words(docs: DataFrame, seeds_only: bool = False) -> DataFrame:
-    """(doc_id, _t, k, v, seed, patterns): the k-th word, the hash of its bare form, its kind if it is a seed, and the hashes of its patterns (null: none)."""
+    """(doc_id, _t, k, v, patterns): the k-th word, the hash of its bare form, and the hashes of its patterns (null: none); with `seeds_only` the seeds with their kind `seed`."""
     text = F.col("text")
     d = _arrays(docs.where(text.rlike(MAY_MATCH) | text.rlike(MAY_NAME_SECRET)) if seeds_only else docs)
     before = lambda i: F.concat_ws(" ", F.get("c", i - 2), F.get("c", i - 1))
@@ -123,7 +123,8 @@ def words(docs: DataFrame, seeds_only: bool = False) -> DataFrame:
     def word(i: Column) -> Column:
         bare, last, own, said = F.get("b", i), F.get("h", i - 1), F.get("s", i), F.get("c", i - 1)
         patterns = F.array(F.when(i >= 2, TWO(F.get("h", i - 2), last)), F.when(_is_label(said), LABEL(last)), F.when(i >= 1, BEFORE(last, own)), F.when(i < F.size("h") - 1, AFTER(F.get("h", i + 1), own)))
-        return F.struct(i.alias("k"), F.xxhash64(bare).alias("v"), _seed(bare, before(i)).alias("seed"), patterns.alias("patterns"))
+        kind = [_seed(bare, before(i)).alias("seed")] if seeds_only else []
+        return F.struct(i.alias("k"), F.xxhash64(bare).alias("v"), *kind, patterns.alias("patterns"))
 
     # The words' structs are made before they become rows, which would each carry the arrays of the text.
     x = d.select("doc_id", "_t", F.explode(F.transform(places, word)).alias("w")).select("doc_id", "_t", "w.*")
@@ -143,16 +144,6 @@ def _having(docs: DataFrame, values: DataFrame) -> DataFrame:
     return _that_hold(docs, hashes, values.select(F.col("v").alias("x")))
 
 
-def _matching(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """The documents in which one of the patterns (p) stands, found by hashes of neighbours alone."""
-    next_to = lambda of, a, b: F.zip_with(a, F.slice(b, 2, F.size(b)), of)
-    h, s = F.col("h"), F.col("s")
-    labels = F.transform(F.filter("c", _is_label), lambda w: LABEL(F.xxhash64(w)))
-    every = F.array(next_to(lambda a, b: TWO(a, b), h, h), labels, next_to(lambda a, b: BEFORE(a, b), h, s), next_to(lambda a, b: AFTER(b, a), s, h))
-    hashes = _arrays(docs).select("doc_id", "_t", F.explode(every).alias("xs")).select("doc_id", "_t", F.explode("xs").alias("x"))
-    return _that_hold(docs, hashes, patterns.select(F.col("p").alias("x")))
-
-
 def _good(edges: DataFrame, known: DataFrame) -> DataFrame:
     """(p, kind, score) of the patterns that extract: score is the share of a pattern's instances that are known as one kind, each by its own score, and enough of them are."""
     sizes = edges.groupBy("p").agg(F.count("*").alias("all"))
@@ -187,9 +178,10 @@ def discovered(docs: DataFrame) -> DataFrame:
 
     Seeds of the kind `secret` only teach: one is a span if a good pattern of that kind has it. The rounds go on until there is
     no new candidate pattern and no new instance; candidates that were not good enough are scored again with all that is known. Each round that
-    has new candidates reads the texts once for the words that have one, and once for where else new instances stand.
+    has new candidates reads the texts once for the words that have one, and once for where else new instances stand; those are no
+    seeds anywhere.
     """
-    occurrences = stored(words(docs, True).where("seed IS NOT NULL"), "seeds")
+    occurrences = stored(words(docs, True), "seeds")
     known = stored(occurrences.groupBy("v").agg(F.max("seed").alias("kind")).withColumn("score", F.lit(1.0)), "known")
     evidence = occurrences.select("v", F.col("seed").alias("kind"), F.explode("patterns").alias("p")).distinct()
     tried = edges = spans = found = located_ones = None
@@ -200,14 +192,14 @@ def discovered(docs: DataFrame) -> DataFrame:
         if candidates.isEmpty():
             break
         tried = candidates if tried is None else tried.unionByName(candidates)
-        more = stored(words(_matching(docs, candidates)).select("v", F.explode(F.array_compact("patterns")).alias("p")).join(small(candidates), "p").select("v", "p").distinct(), "edges")
+        more = stored(words(docs).select("v", F.explode(F.array_compact("patterns")).alias("p")).join(small(candidates), "p").select("v", "p").distinct(), "edges")
         edges = more if edges is None else edges.unionByName(more)
         found = _learnt(edges, known, found)
         new = found if located_ones is None else stored(found.join(located_ones, "v", "left_anti"), "new")
         if new.isEmpty():
             break
         located_ones = new.select("v") if located_ones is None else located_ones.unionByName(new.select("v"))
-        where = stored(words(_having(docs, new)).where("seed IS NULL").join(small(new.select("v", "kind")), "v").select("doc_id", "_t", "k", "v", "kind", "patterns"), "where")
+        where = stored(words(_having(docs, new)).join(small(new.select("v", "kind")), "v").select("doc_id", "_t", "k", "v", "kind", "patterns"), "where")
         spans = where.select("doc_id", "_t", "k", "kind") if spans is None else spans.unionByName(where.select("doc_id", "_t", "k", "kind"))
         evidence = evidence.unionByName(where.select("v", "kind", F.explode(F.array_compact("patterns")).alias("p")).distinct()).distinct()
     secrets = occurrences.where(F.col("seed") == SECRET)
