@@ -72,6 +72,37 @@ def straight_chains(spark, sf_dir):
     return c.join(c.groupBy("chain").agg(F.count("*").alias("pieces")), "chain").select("sheet", "pen", "chain", "pieces")
 
 
+#: Pieces that a label names stand on first pieces of one stroke in three; other labels point at those of another third.
+OWNED = """o AS (SELECT id || '.1' AS id FROM li WHERE l_suppkey % 3 = 0), f AS (SELECT id FROM q WHERE id NOT IN (SELECT id FROM o)), v AS (SELECT li.id || '.1' AS id, p_type AS label FROM li JOIN part ON p_partkey = l_partkey WHERE l_suppkey % 3 = 1)"""
+
+
+def _owned(spark, sf_dir):
+    a = graph_of(spark, sf_dir)
+    li = items(spark, sf_dir).withColumn("id", F.concat(F.col("id").cast("string"), F.lit(".1")))
+    own = li.where("l_suppkey % 3 = 0").select("id", F.lit(True).alias("own")).distinct()
+    names = a.select("id").distinct().join(own, "id", "left").select("id", F.when(F.col("own"), "CONFIRMED").otherwise("UNOWNED").alias("state"))
+    return a, names, li
+
+
+@query(f"""WITH RECURSIVE {PIECES}, {OWNED}, l AS (SELECT a.id AS a, b.id AS b FROM d a JOIN d b ON a.sheet = b.sheet AND a.pen = b.pen AND a.x = b.x AND a.y = b.y AND a.id <> b.id WHERE (a.n = 2 OR (a.n = 4 AND a.way = b.way)) AND a.id IN (SELECT id FROM f) AND b.id IN (SELECT id FROM f)),
+r(id, label) AS (SELECT f.id, label FROM f JOIN v USING (id) UNION SELECT l.b, r.label FROM r JOIN l ON l.a = r.id)
+SELECT id, list_sort(list(label)) AS labels FROM r GROUP BY id""")
+def claimed_runs(spark, sf_dir):
+    """Lines without a name that labels point at, as far as they go on without a junction."""
+    a, names, li = _owned(spark, sf_dir)
+    claims = li.where("l_suppkey % 3 = 1").join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey")).select("id", F.col("p_type").alias("label"))
+    return network.claimed(a, names, claims)
+
+
+@query(f"""WITH RECURSIVE {PIECES}, {OWNED}, k AS (SELECT d.*, CASE WHEN n = 4 THEN way END AS line FROM d JOIN f USING (id)), l AS (SELECT a.id AS a, b.id AS b FROM k a JOIN k b ON a.sheet = b.sheet AND a.pen = b.pen AND a.x = b.x AND a.y = b.y AND a.id <> b.id AND a.line IS NOT DISTINCT FROM b.line),
+r(id, top) AS (SELECT id, id FROM f UNION SELECT l.b, r.top FROM r JOIN l ON l.a = r.id), z AS (SELECT id, min(top) AS part FROM r GROUP BY id)
+SELECT id, sum(abs(x1 - x0) + abs(y1 - y0)) OVER (PARTITION BY part)::DOUBLE AS reach FROM z JOIN q USING (id)""")
+def unowned_reach(spark, sf_dir):
+    """How much hangs together with each piece without a name, none of it named."""
+    a, names, _ = _owned(spark, sf_dir)
+    return frontier.unowned_reach(a, names)
+
+
 def _named(spark, sf_dir):
     """(arms, names): labels stand on the first pieces of some strokes, ticks and evidence at some places."""
     a = graph_of(spark, sf_dir)
