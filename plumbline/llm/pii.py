@@ -36,6 +36,8 @@ MAY_MATCH = r"@|[0-9]\.[0-9]+\.[0-9]|\+[0-9]|[0-9](?:[\x20-]?[0-9]){15}"
 MAY_NAME_SECRET = r"(?i)token|secret|passw|passp|credential|api.?key|access.?key|private.?key"
 #: The score and the number of different known instances that a pattern needs to extract; the score that an instance needs.
 LEAST_SCORE, LEAST_SEEDS, LEAST_INSTANCE = 0.8, 4, 0.8
+#: Characters of the shortest instance: a shorter word is in too many contexts to identify anyone ("version 3" after one number too many).
+LEAST_LENGTH = 3
 #: Stands for a space between groups of digits, so that they are one word; one character, so places stay.
 GLUE = "\ue000"
 SPACE = r"\x20\x09-\x0D"
@@ -116,7 +118,7 @@ def words(docs: DataFrame, seeds_only: bool = False) -> DataFrame:
     text = F.col("text")
     d = _arrays(docs.where(text.rlike(MAY_MATCH) | text.rlike(MAY_NAME_SECRET)) if seeds_only else docs)
     before = lambda i: F.concat_ws(" ", F.get("c", i - 2), F.get("c", i - 1))
-    places = F.filter(F.sequence(F.lit(0), F.size("b") - 1), lambda i: F.length(F.get("b", i)) >= 1)
+    places = F.filter(F.sequence(F.lit(0), F.size("b") - 1), lambda i: F.length(F.get("b", i)) >= LEAST_LENGTH)
     if seeds_only:
         places = F.filter(places, lambda i: _seed(F.get("b", i), before(i)).isNotNull())
 

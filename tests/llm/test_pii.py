@@ -101,7 +101,7 @@ def plain_bootstrap(texts):
             own.append((bare, at + lead, re.sub("[0-9]+", "9", w).lower(), shape))
             at += len(w) + 1
         for k, (bare, start, _, shape) in enumerate(own):
-            if not bare:
+            if len(bare) < pii.LEAST_LENGTH:
                 continue
             p = set()
             if k >= 2:
