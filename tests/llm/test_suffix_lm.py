@@ -81,6 +81,20 @@ def test_scores_equal_brute_force(spark, spread, docs):
     assert any(kept for ctx, kept in plain.kept.items() if len(ctx) == L.DEPTH)
 
 
+def test_frequent_contexts_take_the_same_test(spark):
+    """Contexts that are dealt by string because they are frequent are retained or not as the divergence test says."""
+    rows = corpus()
+    plain = Plain(rows, spread=float("inf"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, round(r.score, 5)) for r in L.score(df, block_docs=50, dealt=300).collect()), key=str)
+    want = sorted(((i, round(plain.score(text), 5)) for i, text in rows), key=str)
+    assert np.allclose([x[1] for x in got], [x[1] for x in want], atol=1e-4) and [x[0] for x in got] == [x[0] for x in want]
+    frequent = [plain.retained(ctx) for ctx, f in list(plain.followers.items()) if ctx and f.total() > 300]
+    assert any(frequent) and not all(frequent)
+    whole = sorted(((r.doc_id, round(r.score, 5)) for r in L.score(df).collect()), key=str)
+    assert np.allclose([x[1] for x in got], [x[1] for x in whole], rtol=0, atol=1e-9)
+
+
 def test_distributions_sum_to_one():
     plain = Plain(corpus())
     every = [*plain.followers[()], "never seen"]
