@@ -2,8 +2,9 @@
 
 What the fixed patterns find are seeds, and so is the value after a word that names a secret. Words are instances; groups
 of digits with spaces between are one. The two words before an instance, the last one alone if it is a label, and its
-shape with the word before or after it are its lexical patterns. Patterns of enough different seeds are candidates; only
-words that have one of them enter the graph. Scores go back and forth over it: a pattern is as good as the share of its
+shape with the word before or after it are its lexical patterns. Patterns of enough different seeds are candidates; those
+that have too many other instances in a share of the texts already are set aside until more is known, and only words that
+have one of the rest enter the graph. Scores go back and forth over it: a pattern is as good as the share of its
 instances that are known, an instance as good as its patterns together. Patterns with a high score extract
 further instances of their kind, and these are known in the next round, until a round finds nothing new. Words after the name of
 a secret teach as well, but are found only where a learnt pattern has them.
@@ -38,6 +39,8 @@ MAY_NAME_SECRET = r"(?i)token|secret|passw|passp|credential|api.?key|access.?key
 LEAST_SCORE, LEAST_SEEDS, LEAST_INSTANCE = 0.8, 4, 0.8
 #: Characters of the shortest instance: a shorter word is in too many contexts to identify anyone ("version 3" after one number too many).
 LEAST_LENGTH = 3
+#: One text in so many is looked through, one share after the other, for patterns that cannot be good; which are, does not hang on it.
+SHARES = (64, 8)
 #: Stands for a space between groups of digits, so that they are one word; one character, so places stay.
 GLUE = "\ue000"
 SPACE = r"\x20\x09-\x0D"
@@ -175,22 +178,52 @@ def _learnt(edges: DataFrame, seeds: DataFrame, before: DataFrame | None) -> Dat
         was = now
 
 
+def _elsewhere(docs: DataFrame, values: DataFrame) -> DataFrame:
+    """(v, p): the patterns of values (v) wherever these stand."""
+    values = stored(values, "values")
+    if values.isEmpty():
+        return values.withColumn("p", F.col("v"))
+    return stored(words(_having(docs, values)).join(small(values), "v").select("v", F.explode(F.array_compact("patterns")).alias("p")).distinct(), "elsewhere")
+
+
+def _hopeful(docs: DataFrame, candidates: DataFrame, evidence: DataFrame, known: DataFrame) -> DataFrame:
+    """The candidates (p) that may be good by what is known: evidence has all (v, p) of the known (v), wherever they stand.
+
+    A pattern's score is at most the share of known ones among its instances. Unknown ones that it has in a share of the texts it has
+    in all of them, so a pattern for which they are too many there is not good, and its other instances need not be read. A common pattern
+    goes in the first share already, so that what the last reading finds grows with what is known and not with how common patterns are.
+    """
+    most = stored(evidence.distinct().groupBy("p").agg(F.count("*").alias("most")).join(candidates, "p", "left_semi"), "most")
+    for share in SHARES:
+        some = words(docs.where(F.pmod("_t", F.lit(share)) == 0)).select("v", F.explode(F.array_compact("patterns")).alias("p"))
+        unknown = some.join(small(candidates), "p", "left_semi").distinct().join(known, "v", "left_anti").groupBy("p").agg(F.count("*").alias("unknown"))
+        bad = unknown.join(most, "p").where(F.col("most") / (F.col("most") + F.col("unknown")) < LEAST_SCORE)
+        candidates = stored(candidates.join(bad, "p", "left_anti"), "hopeful")
+    return candidates
+
+
 def discovered(docs: DataFrame) -> DataFrame:
     """(doc_id, _t, kind, start, end) of the words that learnt patterns extract and that are no seeds of a fixed pattern's kind.
 
     Seeds of the kind `secret` only teach: one is a span if a good pattern of that kind has it. The rounds go on until there is
-    no new candidate pattern and no new instance; candidates that were not good enough are scored again with all that is known. Each round that
-    has new candidates reads the texts once for the words that have one, and once for where else new instances stand; those are no
-    seeds anywhere.
+    no new candidate pattern and no new instance; candidates that were not good enough are scored again with all that is known, and those
+    set aside are looked at again. Each round that has new candidates reads the texts once for the words that have one, and once for where
+    else new instances stand; those are no seeds anywhere.
     """
     occurrences = stored(words(docs, True), "seeds")
     known = stored(occurrences.groupBy("v").agg(F.max("seed").alias("kind")).withColumn("score", F.lit(1.0)), "known")
     evidence = occurrences.select("v", F.col("seed").alias("kind"), F.explode("patterns").alias("p")).distinct()
-    tried = edges = spans = found = located_ones = None
+    tried = edges = spans = found = located_ones = elsewhere = None
     while True:
         # Patterns with enough different known instances of one kind; summed before they are shuffled.
         candidates = evidence.groupBy("p", "kind").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SEEDS).select("p").distinct()
         candidates = stored(candidates if tried is None else candidates.join(tried, "p", "left_anti"), "candidates")
+        if candidates.isEmpty():
+            break
+        if elsewhere is None:  # what a secret's name stands before is no evidence at other places, but known there
+            elsewhere = _elsewhere(docs, known.where(F.col("kind") == SECRET).select("v"))
+        every = known.select("v") if located_ones is None else known.select("v").unionByName(located_ones)
+        candidates = _hopeful(docs, candidates, evidence.select("v", "p").unionByName(elsewhere), every)
         if candidates.isEmpty():
             break
         tried = candidates if tried is None else tried.unionByName(candidates)
