@@ -33,6 +33,8 @@ HIDES = 50
 BITS, MASS = 28, 1 << 22
 #: Bytes of text that are counted at once.
 STRETCH = 8 << 20
+#: Phrases that are sent at once.
+ROWS = 20_000
 #: A stretch's texts stand one after the other with this byte, which no text has, between pieces.
 CUT = b"\xff"
 #: A-Z lower-cased, ends of pieces cut, tabs are spaces.
@@ -52,8 +54,12 @@ class Stretch:
     def __init__(self, lang: str, texts: list[bytes]):
         ids = defaultdict(count().__next__)
         ids[CUT]  # word 0 is a cut
-        words = (b" " + CUT + b" ").join(t.translate(TABLE).replace(CUT, b" " + CUT + b" ") for t in texts).split()
-        self.ids = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
+        parts = []
+        for t in texts:  # one after the other, so that the words of one text at a time are held as objects
+            words = t.translate(TABLE).replace(CUT, b" " + CUT + b" ").split()
+            words.append(CUT)
+            parts.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
+        self.ids = np.concatenate(parts)
         self.words, self.lang = list(ids), lang
         seed = xxhash.xxh3_64_intdigest(lang.encode())
         self.hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.words), np.uint64, len(self.words))
@@ -191,10 +197,10 @@ def _second(batches: Iterator[pa.RecordBatch], bitmap, bits: int, longest: int)
     marks = np.frombuffer(bitmap.value, np.uint8)
     shift = np.uint64(64 - bits)
     for stretch in _stretches(batches):
-        phrases, sizes, counts, whole = [b""], [0], [0], None
+        whole = None
         for n, at, h in stretch.grams(longest):
             if n == 1:
-                counts[0] = len(at)
+                yield _counted(stretch.lang, [b""], 0, [len(at)])
             slot = (h >> shift).astype(np.int64)
             on = (marks[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0
             if whole is not None:  # both parts that are a word shorter are marked
@@ -204,12 +210,14 @@ def _second(batches: Iterator[pa.RecordBatch], bitmap, bits: int, longest: int)
             at, h = at[on], h[on]
             order = np.argsort(h, kind="stable")
             edge = np.flatnonzero(np.append(True, np.diff(h[order]) != 0)) if len(h) else order
-            phrases += [stretch.text(a, n) for a in at[order[edge]].tolist()]
-            counts += np.diff(np.append(edge, len(h))).tolist()
-            sizes += [n] * len(edge)
-        for k in range(0, len(phrases), 100_000):
-            part = phrases[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array([stretch.lang] * len(part), pa.string()), pa.array(part, pa.binary()).cast(pa.string()), pa.array(sizes[k : k + 100_000], pa.int32()), pa.array(counts[k : k + 100_000], pa.int64())], schema=COUNTED)
+            first, counts = at[order[edge]], np.diff(np.append(edge, len(h)))
+            for k in range(0, len(first), ROWS):  # sent as they are made
+                yield _counted(stretch.lang, [stretch.text(a, n) for a in first[k : k + ROWS].tolist()], n, counts[k : k + ROWS])
+
+
+def _counted(lang: str, phrases: list[bytes], n: int, counts: np.ndarray | list[int]) -> pa.RecordBatch:
+    columns = [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.full(len(phrases), n), pa.int32()), pa.array(counts, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, schema=COUNTED)
 
 
 def survivors(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST, bits: int = BITS, mass: int = MASS) -> bytes:

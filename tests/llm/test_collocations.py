@@ -1,8 +1,11 @@
 import collections
 import random
 import re
+import tracemalloc
+import types
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import collocations as C
@@ -82,3 +85,19 @@ def test_products_beyond_64_bits(spark):
     a = 5_000_000_000
     got = spark.sql(f"SELECT (1000000 * CAST({a} AS DECIMAL(38, 0)) * CAST({a} AS DECIMAL(38, 0))) div (CAST({a + 1} AS DECIMAL(38, 0)) * CAST({a + 7} AS DECIMAL(38, 0))) AS s").first().s
     assert got == 1_000_000 * a * a // ((a + 1) * (a + 7))
+
+
+def test_words_of_one_text_at_a_time_are_objects():
+    """A stretch of many texts holds its words as numbers, and its phrases leave in parts."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(2000)}" for _ in range(500)).encode() for _ in range(800)]
+    tracemalloc.start()
+    stretch = C.Stretch("en", texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    assert peak < 30 * len(stretch.ids)  # as objects in a list, words take some 45 bytes each
+    all_marked = types.SimpleNamespace(value=b"\xff" * (1 << 13))
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array([t.decode() for t in texts])], names=["lang", "text"])
+    sent = list(C._second(iter([batch]), all_marked, 16, 3))
+    tracemalloc.stop()
+    assert max(b.num_rows for b in sent) <= C.ROWS < sum(b.num_rows for b in sent)
+    assert sum(sum(b.column("n").to_pylist()) for b in sent) == 800 * (500 + 500 + 499 + 498)
