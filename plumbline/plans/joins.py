@@ -190,13 +190,30 @@ def banded_lookup(spark, sf_dir):
 @query("""WITH m AS (SELECT a.p_partkey AS want, b.p_partkey AS article, b.p_retailprice AS price, CASE WHEN a.p_name = b.p_name THEN 2 WHEN split_part(a.p_name, ' ', 2) = split_part(b.p_name, ' ', 2) THEN 1 ELSE 0 END AS hits, abs(a.p_size - b.p_size) AS off FROM part a JOIN part b ON a.p_type = b.p_type AND abs(a.p_size - b.p_size) <= 1)
 SELECT want, article, hits, rank FROM (SELECT *, row_number() OVER (PARTITION BY want ORDER BY hits DESC, price, article) AS rank FROM m) WHERE rank <= 6""")
 def article_match(spark, sf_dir):
-    """The six best articles for each want: same kind, dimension within one, by words in common, price."""
-    p = table(spark, sf_dir, "part")
-    a = p.select(F.col("p_partkey").alias("want"), F.col("p_name").alias("w_name"), F.col("p_type").alias("w_type"), F.explode(F.expr("sequence(p_size - 1, p_size + 1)")).alias("w_size"))
-    j = a.join(p, F.expr("w_type = p_type AND w_size = p_size"))
-    second = lambda c: F.split_part(F.col(c), F.lit(" "), F.lit(2))
-    hits = F.when(F.col("w_name") == F.col("p_name"), 2).when(second("w_name") == second("p_name"), 1).otherwise(0)
-    return choose.top_k(j.withColumn("hits", hits), ["want"], 6, F.desc("hits"), F.col("p_retailprice"), F.col("p_partkey")).select("want", F.col("p_partkey").alias("article"), "hits", "rank")
+    """The six best articles for each want: same kind, dimension within one, by words in common, price.
+
+    The six cheapest of each kind and dimension, of those with the second word, and of those with the name hold whatever a want can get: if the narrower
+    ones are fewer than six, all of them are there, so what they take from a wider six is no more than they fill themselves. No want meets all articles of its kind.
+    """
+    order = (F.col("p_retailprice").asc_nulls_last(), F.col("p_partkey").asc_nulls_last())
+    p = table(spark, sf_dir, "part").withColumn("second", F.split_part("p_name", F.lit(" "), F.lit(2)))
+    kinds = p.select(F.col("p_type").alias("w_type"), F.col("p_size").alias("w_size"), F.col("p_name").alias("w_name"), F.col("second").alias("w_second")).distinct()
+    near = kinds.withColumn("off", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("a_size", F.col("w_size") + F.col("off")).drop("off")
+    found = None
+    for hits, key in ((0, []), (1, ["second"]), (2, ["second", "p_name"])):
+        some = choose.top_k(p.dropna(subset=["p_type", "p_size", *key]), ["p_type", "p_size", *key], 6, *order).drop("rank")
+        on = (F.col("w_type") == F.col("p_type")) & (F.col("a_size") == F.col("p_size"))
+        for c in key:
+            on = on & (F.col({"second": "w_second", "p_name": "w_name"}[c]) == F.col(c))
+        met = near.join(some, on).withColumn("hits", F.lit(hits))
+        if hits < 2:
+            met = met.where(~F.coalesce(F.col("w_second") == F.col("second") if hits == 0 else F.col("w_name") == F.col("p_name"), F.lit(False)))
+        found = met if found is None else found.unionByName(met)
+    kind = ["w_type", "w_size", "w_name"]
+    best = choose.top_k(found, kind, 6, F.desc("hits"), *order).select(*kind, "p_partkey", "p_retailprice", "hits")
+    same = (F.col("a_type") == F.col("w_type")) & (F.col("a_size") == F.col("w_size")) & F.col("a_name").eqNullSafe(F.col("w_name"))
+    wants = p.select(F.col("p_partkey").alias("want"), F.col("p_type").alias("a_type"), F.col("p_size").alias("a_size"), F.col("p_name").alias("a_name")).join(best, same)
+    return choose.top_k(wants, ["want"], 6, F.desc("hits"), *order).select("want", F.col("p_partkey").alias("article"), "hits", "rank")
 
 
 @query("""WITH v AS (SELECT l_orderkey AS pen, p_type AS system, count(*) AS n, count(DISTINCT l_suppkey) AS drawings FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), s AS (SELECT *, sum(n) OVER (PARTITION BY pen) AS a FROM v)
