@@ -45,12 +45,16 @@ ENDS = "e AS (SELECT p_partkey AS id, (p_partkey * 31) % 997 AS x, p_type AS pen
 
 
 def named(spark, sf_dir):
-    """What end each free end names: the nearest of its pen within a gap."""
+    """What end each free end names: the nearest of its pen within a gap. Of a place only its two least ends can be named, so places are paired and not ends."""
     k = F.col("p_partkey")
-    x = (k * 31) % 997
-    e = table(spark, sf_dir, "part").select(k.alias("id"), x.alias("x0"), F.lit(0).alias("y0"), x.alias("x1"), F.lit(0).alias("y1"), F.col("p_type").alias("pen"))
-    c = spatial.box_join(e, e, 12, by=("pen",), reach=6).where("id <> r_id")
-    return c.groupBy(F.col("id").alias("a")).agg(F.min_by("r_id", F.struct(F.abs(F.col("x0") - F.col("r_x0")), "r_id")).alias("b"))
+    e = table(spark, sf_dir, "part").select(k.alias("id"), ((k * 31) % 997).alias("x"), F.col("p_type").alias("pen")).dropna().distinct()
+    two = choose.top_k(e, ["pen", "x"], 2, F.col("id")).groupBy("pen", "x").agg(F.min("id").alias("first"), F.max(F.when(F.col("rank") == 2, F.col("id"))).alias("second"))
+    place = two.select("pen", "x", "first", F.col("x").alias("x0"), F.lit(0).alias("y0"), F.col("x").alias("x1"), F.lit(0).alias("y1"))
+    around = spatial.box_join(place, place, 12, by=("pen",), reach=6).where("x <> r_x").groupBy("pen", "x").agg(F.min(F.struct(F.abs(F.col("x") - F.col("r_x")).alias("d"), F.col("r_first").alias("b"))).alias("beside"))
+    here = F.when(F.col("id") == F.col("first"), F.col("second")).otherwise(F.col("first"))
+    c = e.join(two, ["pen", "x"]).join(around, ["pen", "x"], "left")
+    c = c.select(F.col("id").alias("a"), F.when(here.isNotNull(), F.struct((F.col("x") - F.col("x")).alias("d"), here.alias("b"))).otherwise(F.col("beside")).alias("n")).where("n IS NOT NULL")
+    return c.groupBy("a").agg(F.min("n").alias("n")).select("a", F.col("n.b").alias("b"))
 
 
 @query(f"WITH {ENDS} SELECT n.a, n.b FROM n JOIN n m ON n.b = m.a AND m.b = n.a WHERE n.a < n.b")

@@ -83,3 +83,11 @@ def test_inside_hatch_counts_without_pairs(spark, tmp_path):
     folder, con = tables(spark, tmp_path, part=(PART, some), lineitem=(LINEITEM, crossing_lines(2000, 4) + [(2, 3, 1, 1, -9.0, "A"), (2, None, 1, 1, 3.0, "A")]))
     rows, most = held(spark, folder, con, "inside_hatch")
     assert rows > 40 and most <= 300
+
+
+@pytest.mark.parametrize("name", ["mutual_nearest", "uncontested_claims"])
+def test_nearest_of_many_ends_at_one_place(spark, tmp_path, name):
+    some = parts(600, 8, step=997) + parts(300, 9) + parts(20, 10, step=41) + [(7, "n", "b", None, 1, 1.0), (None, "n", "b", "T0", 1, 1.0)]
+    folder, con = tables(spark, tmp_path, part=(PART, some))
+    rows, most = held(spark, folder, con, name)
+    assert most <= 8000
