@@ -50,3 +50,18 @@ def mutual(choices: DataFrame, a: str, b: str) -> DataFrame:
     """Choices (a names b) that are returned (b names a), each pair once."""
     back = choices.select(F.col(a).alias(b), F.col(b).alias(a))
     return choices.select(a, b).join(back, [a, b]).where(F.col(a) < F.col(b)).distinct()
+
+
+#: Rows of one place that are joined in one go.
+PACK = 256
+
+
+def met_by_place(left: DataFrame, right: DataFrame, place: list[str]) -> DataFrame:
+    """left joined with right on the columns `place`; the right rows of a crowded place are dealt into packs of PACK rows, so that its pairs fall into many tasks.
+
+    What is shuffled is left's rows once a pack, a small part of the pairs.
+    """
+    packed = right.withColumn("_pack", F.floor((F.row_number().over(W.partitionBy(*place).orderBy(F.xxhash64(*right.columns))) - 1) / PACK))
+    packs = right.groupBy(*place).agg(F.floor((F.count("*") - 1) / PACK).alias("_last"))
+    asks = left.join(packs, place).withColumn("_pack", F.explode(F.sequence(F.lit(0).cast("bigint"), "_last"))).drop("_last")
+    return asks.join(packed, [*place, "_pack"]).drop("_pack")

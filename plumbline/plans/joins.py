@@ -35,10 +35,16 @@ def overlapping_boxes(spark, sf_dir):
 @query(f"""WITH {BOXES}, {ANCHORS}, d AS (SELECT b.id AS label, a.id AS anchor, greatest(b.x0 - a.x, a.x - b.x1, 0) ** 2 + greatest(b.y0 - a.y, a.y - b.y1, 0) ** 2 AS d FROM b JOIN a ON a.x BETWEEN b.x0 - 15 AND b.x1 + 15 AND a.y BETWEEN b.y0 - 15 AND b.y1 + 15),
 m AS (SELECT *, min(d) OVER (PARTITION BY label) AS least FROM d) SELECT label, anchor, CAST(d AS BIGINT) AS distance2, count(*) OVER (PARTITION BY label) AS tied FROM m WHERE d = least""")
 def nearest_anchor(spark, sf_dir):
-    """The anchor nearest to each label within reach; ties stay ties."""
-    p = spatial.box_join(boxes(spark, sf_dir), anchors(spark, sf_dir), 32, reach=15)
+    """The anchor nearest to each label within reach; ties stay ties. Boxes and places are compared once each, and only what is nearest is joined with its anchors."""
+    labels, box = boxes(spark, sf_dir), list(spatial.BOX)
+    at = anchors(spark, sf_dir).select("id", F.col("x0").alias("ax"), F.col("y0").alias("ay"))
+    places = at.groupBy("ax", "ay").agg(F.count("*").alias("n")).select("*", F.col("ax").alias("x0"), F.col("ay").alias("y0"), F.col("ax").alias("x1"), F.col("ay").alias("y1"))
+    p = spatial.box_join(labels.select(*box).distinct(), places, 32, reach=15)
     dx, dy = F.greatest(F.col("x0") - F.col("r_x0"), F.col("r_x0") - F.col("x1"), F.lit(0)), F.greatest(F.col("y0") - F.col("r_y0"), F.col("r_y0") - F.col("y1"), F.lit(0))
-    return spatial.nearest(p, ["id"], dx * dx + dy * dy, ["r_id"]).select(F.col("id").alias("label"), F.col("r_id").alias("anchor"), F.col("distance").cast("bigint").alias("distance2"), F.col("n_tied").alias("tied"))
+    near = spatial.nearest(p, box, dx * dx + dy * dy, []).select(*box, F.col("distance").alias("d"), F.col("r_ax").alias("ax"), F.col("r_ay").alias("ay"), F.col("r_n").alias("n"))
+    own = spatial.nearest(labels.select(F.col("id").alias("label"), *box).join(near, box), ["label"], F.col("d"), [])
+    tied = own.withColumn("tied", F.sum("n").over(W.partitionBy("label"))).select("label", F.col("distance").cast("bigint").alias("distance2"), "tied", "ax", "ay")
+    return spatial.met_by_place(tied, at, ["ax", "ay"]).select("label", F.col("id").alias("anchor"), "distance2", "tied")
 
 
 ENDS = "e AS (SELECT p_partkey AS id, (p_partkey * 31) % 997 AS x, p_type AS pen FROM part), c AS (SELECT l.id AS a, r.id AS b, abs(l.x - r.x) AS d FROM e l JOIN e r ON l.pen = r.pen AND l.id <> r.id AND abs(l.x - r.x) <= 6), n AS (SELECT a, arg_min(b, (d, b)) AS b FROM c GROUP BY a)"

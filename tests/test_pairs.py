@@ -91,3 +91,11 @@ def test_nearest_of_many_ends_at_one_place(spark, tmp_path, name):
     folder, con = tables(spark, tmp_path, part=(PART, some))
     rows, most = held(spark, folder, con, name)
     assert most <= 8000
+
+
+def test_nearest_anchor_of_many_anchors_at_one_place(spark, tmp_path):
+    some = [(p[0] + 50, *p[1:]) for p in parts(60, 11, step=1500)] + parts(50, 12) + parts(5, 13) + [(9, "n", "b", "t", None, 1.0)]
+    suppliers = [(k,) for k in [*range(1, 40), 650, 2150, *range(1204, 1500 * 400, 1500), 3, None]]  # two on the sixty labels, and 400 within their reach
+    folder, con = tables(spark, tmp_path, part=(PART, some), supplier=("s_suppkey bigint", suppliers))
+    rows, most = held(spark, folder, con, "nearest_anchor")
+    assert most <= rows
