@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.sources.shared import stored
+from plumbline.sources.shared import removed, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -19,23 +24,99 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out if large else out.distinct()  # what the large stars repeat, the small ones sum
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component) for every end of edges (a, b): the least id that can be reached; by alternating large and small stars.
+#: Edges that are contracted in memory at a time.
+CHUNK = 500_000
+
+
+def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number that each of the numbers below n hangs together with by the pairs (a, b): hooks on the lesser root, then roots of roots."""
+    root = np.arange(n)
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := root[root], root):
+            root = up
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    return root
+
 
-    Each round shuffles the edges and sums them before it does; a hub is no group that anyone collects. Repeated edges
-    and nulls do no harm, an empty table gives an empty result.
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of edges (a, b), b < a, sorted by a: (open, u, v), stars (vertex, least vertex) of what hangs together in each chunk, and its open edges.
+
+    An edge is open if its b may stand in a chunk before, or its a does already: what it joins may be known elsewhere. Before the first
+    chunk of the first range there is none.
     """
-    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    alone = edges.where("a = b").select(F.col("a").alias("id"), F.col("a").alias("component"))
+    held, rows, last, first = [], 0, None, TaskContext.get().partitionId() == 0
+
+    def one() -> pa.RecordBatch:
+        nonlocal last, first
+        t = pa.Table.from_batches(held)
+        both = pa.concat_arrays([*t.column("a").chunks, *t.column("b").chunks]).dictionary_encode()
+        order = pc.sort_indices(both.dictionary)
+        names, code = both.dictionary.take(order), np.empty(len(order), np.int64)
+        code[order.to_numpy()] = np.arange(len(order))
+        code = code[both.indices.to_numpy()]
+        a, b = code[: len(t)], code[len(t) :]
+        if last is not None:
+            before = pc.sum(pc.less_equal(names, last)).as_py()  # so many ids are not beyond the chunk before
+            open_ = (b < before) | (a < before)
+        else:
+            open_ = b < (0 if first else a[0])
+        last, first = names[a[-1]], False
+        root = least_labels(len(names), a[~open_], b[~open_])
+        own = np.unique(np.concatenate([a[~open_], b[~open_]]))
+        u, v = np.concatenate([own, a[open_]]), np.concatenate([root[own], b[open_]])
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(len(u)) >= len(own)), names.take(pa.array(u)), names.take(pa.array(v))], names=["open", "u", "v"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= CHUNK:
+                yield one()
+                held, rows = [], 0
+    if held:
+        yield one()
+
+
+def _starred(edges: DataFrame) -> DataFrame:
+    """(id, component) of edges (a, b), a <> b, by alternating large and small stars; each round is removed when the next one is there."""
+    e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     sign = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     was = sign(e)
     while was[0]:
-        e = stored(_star(_star(e, True), False), "stars")
+        old, e = e, stored(_star(_star(e, True), False), "stars")
+        removed(old)
         now = sign(e)
         if now == was:
             break
         was = now
-    out = e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component) for every end of edges (a, b): the least id that can be reached.
+
+    Edges are sorted by their greater end and contracted chunk by chunk in memory. What reaches out of a chunk is left: if ids that hang together lie
+    together, next to nothing, and that is done the same way. If it is most of them, stars are joined by alternating large and small stars, rounds that shuffle the edges and sum them before
+    they do; a hub is no group that anyone collects. Repeated edges and nulls do no harm, an empty table gives an empty result.
+    """
+    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
+    alone = edges.where("a = b").select(F.col("a").alias("id"), F.col("a").alias("component"))
+    kind = e.schema["a"].dataType.simpleString()
+    n = e.count()
+    ranges = e.repartitionByRange(n // CHUNK + 1, "a").sortWithinPartitions("a")
+    found = stored(ranges.mapInArrow(_contracted, f"open boolean, u {kind}, v {kind}"), "contracted")
+    removed(e)
+    out, left = found.where("NOT open").select(F.col("u").alias("id"), F.col("v").alias("component")), found.where("open")
+    few = left.count()
+    if few:
+        root = lambda d, c: d.join(out.select(F.col("id").alias(c), F.col("component").alias("_r")), c, "left").withColumn(c, F.coalesce("_r", c)).drop("_r")
+        ends = root(root(left.select(F.col("u").alias("a"), F.col("v").alias("b")), "a"), "b")
+        joined = stored(components(ends.where("a <> b")) if few <= n // 2 else _starred(ends.where("a <> b")), "joined")
+        further = joined.join(out.select("id"), "id", "left_anti")
+        out = out.join(joined.select(F.col("id").alias("component"), F.col("component").alias("_c")), "component", "left").select("id", F.coalesce("_c", "component").alias("component")).unionByName(further)
+        out = stored(out, "components")
     return out.unionByName(alone.distinct().join(out.select("id"), "id", "left_anti"))
 
 
