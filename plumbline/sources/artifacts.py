@@ -45,6 +45,10 @@ def union_of(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+#: Rows of one file of a document; a file is read whole to take its hash, so a task holds no more than that.
+FILE_ROWS = 50_000
+
+
 def write_document(frames: dict[str, DataFrame], path: str) -> DataFrame:
     """All artifacts of a document under one folder, one after the other, then their manifest: (artifact, file, bytes, sha256) of every file that was written.
 
@@ -53,7 +57,7 @@ def write_document(frames: dict[str, DataFrame], path: str) -> DataFrame:
     """
     spark = next(iter(frames.values())).sparkSession
     for name, df in frames.items():
-        df.write.json(f"{path}/{name}")
+        df.write.option("maxRecordsPerFile", FILE_ROWS).json(f"{path}/{name}")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load([f"{path}/{n}" for n in frames])
     at = F.element_at(F.split("path", "/"), -1)
     manifest = files.select(F.element_at(F.split("path", "/"), -2).alias("artifact"), at.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
